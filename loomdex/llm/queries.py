@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm import neardup, repetition
+from loomdex.llm import mixing, neardup, packing, pii, repetition
 from loomdex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +17,26 @@ def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' sources mixed to smoothed weights, a row for each drawn block."""
+    return mixing.mixed_blocks(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has a near-duplicate, with its group."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_suffix_repetition, op4_minhash_neardup)}
+def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies in the packed windows and steps."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confirmed spans of personal data in the documents."""
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_suffix_repetition, op3_source_mixing, op4_minhash_neardup, op7_hierarchical_packing, op9_pii_spans)}
 
 ORACLE_SQL: dict[str, str] = {}
