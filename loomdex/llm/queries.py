@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomdex.llm import mixing, neardup, packing, pii, repetition
-from loomdex.llm.common import table
+from loomdex.llm import mixing, neardup, neighbours, packing, pii, ranking, repetition, sharding, tokens
+from loomdex.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, read from the shards of a compacted store, with a digest of each text."""
+    stored = sharding.sharded(table(spark, sf_dir, "documents"), fresh_path(spark, "store"))
+    return stored.select("doc_id", "lang", "source", "n_chars", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay within the repetition limits, with what was measured."""
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
@@ -27,16 +34,44 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document, packed to the vocabulary's width."""
+    return tokens.packed_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents above the quality threshold, with their scores."""
+    return ranking.keep_best(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document lies in the packed windows and steps."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest neighbours of every embedding."""
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confirmed spans of personal data in the documents."""
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_suffix_repetition, op3_source_mixing, op4_minhash_neardup, op7_hierarchical_packing, op9_pii_spans)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_tiered_sharding, op2_suffix_repetition, op3_source_mixing, op4_minhash_neardup, op5_packed_token_ids,
+        op6_pairwise_quality, op7_hierarchical_packing, op8_projected_neighbours, op9_pii_spans, op10_token_counts,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_tiered_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+}
