@@ -71,6 +71,15 @@ def quoted(name: str) -> Column:
 BROADCAST_ROWS = 2_000_000
 
 
+#: Bytes of rows that go to a Python worker at once: texts can be long, and the default is by row.
+BATCH_BYTES = 8 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that the session sends to Python by BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint on a written table of ids, if it has at most so many rows; else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

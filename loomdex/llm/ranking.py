@@ -9,8 +9,7 @@ quantile is given, that of all documents.
 
 Features: which of the vocabulary's words occur (those that MIN_DOCS or more of the training documents
 have) and a few figures of style. The model is fitted on at most MAX_LABELLED labelled documents (those with the
-least hash of their id), and on half of them if there are fewer than twice as many; scores and quantiles
-are of all documents.
+least hash of their id), and on at most three quarters of them; scores and quantiles are of all documents.
 """
 
 from __future__ import annotations
@@ -25,16 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, quoted
+from loomdex.llm.common import materialize, quoted, text_batches
 
 MAX_LABELLED = 8000
 LOSS = 0.01  # share of the preferred documents that falls below the threshold
 PAIRS = 60_000
 MIN_DOCS = 8
+MAX_SHARE = 0.1  # of the training documents; commoner words only tell how long a text is
 SIGMAS = 4.0  # by which a word's share of preferred documents differs from that of all
-ROUNDS = 150
+ROUNDS = 400
 RATE = 0.05
-DECAY = 1e-3
+DECAY = 1e-4
 SEED = 7
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -89,7 +89,7 @@ def fit(words: pa.ListArray, figures: np.ndarray, good: np.ndarray, pairs: int =
     liked = np.bincount(index[good[doc]], minlength=len(coded.dictionary))
     # words of preferred and of other documents alike say nothing: keep those whose shares differ
     p = good.mean() if len(good) else 0.0
-    often = (n >= MIN_DOCS) & (np.abs(liked - n * p) >= SIGMAS * np.sqrt(np.maximum(n * p * (1 - p), 1e-9)))
+    often = (n >= MIN_DOCS) & (n <= MAX_SHARE * len(words)) & (np.abs(liked - n * p) >= SIGMAS * np.sqrt(np.maximum(n * p * (1 - p), 1e-9)))
     number = np.cumsum(often) - 1
     use = often[index]
     index, doc = number[index[use]], doc[use]
@@ -157,8 +157,9 @@ def keep_best(docs: DataFrame, labels: DataFrame, quantile: float | None = None,
     kinds all scores are 0 and all rows stay; an empty table gives an empty one. Extra columns are not
     read.
     """
+    text_batches(docs.sparkSession)
     preferred = materialize(preferences(labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")), "preferred")
-    n = min(max_labelled, -(-preferred.count() // 2))
+    n = min(max_labelled, -(-3 * preferred.count() // 4))
     chosen = materialize(preferred.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n), "chosen")
     scores = materialize(scored(docs, train(docs, chosen)), "scores")
     if quantile is None:
