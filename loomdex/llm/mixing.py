@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, quoted, small_side
-from loomdex.llm.shingles import U64, mix64, string_buffers
+from loomdex.llm.common import materialize, quoted, small_side, text_batches
+from loomdex.llm.shingles import U64, mix64, slices, string_buffers
 
 BLOCK = 2048  # tokens
 SLOTS = 512  # blocks in an output shard
@@ -48,15 +48,18 @@ def token_counts(text: Column) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         offsets, data = string_buffers(texts)
-        lo = int(offsets[0]) if len(offsets) else 0
-        inside = np.zeros(int(offsets[-1]) - lo + 1, bool)
-        inside[1:] = data[lo : int(offsets[-1])] > 32
-        start = inside[1:] & ~inside[:-1]
-        at = offsets[:-1] - lo
-        full = np.flatnonzero(np.diff(offsets) > 0)
-        start[at[full]] = inside[1:][at[full]]  # a document's first byte follows no space of its own
-        sums = np.concatenate([[0], np.cumsum(start)])
-        return pa.array(sums[offsets[1:] - lo] - sums[at], pa.int64())
+        counts = np.zeros(len(texts), np.int64)
+        for a, b in slices(offsets, 1 << 20):
+            lo, hi = int(offsets[a]), int(offsets[b])
+            inside = np.zeros(hi - lo + 1, bool)
+            inside[1:] = data[lo:hi] > 32
+            start = inside[1:] & ~inside[:-1]
+            full = np.flatnonzero(np.diff(offsets[a : b + 1]) > 0) + a
+            at = offsets[full] - lo
+            start[at] = inside[1:][at]  # a document's first byte follows no space of its own
+            if len(full):
+                counts[full] = np.add.reduceat(start, at, dtype=np.int64)
+        return pa.array(counts)
 
     return F.arrow_udf(run, "bigint")(text)
 
@@ -180,6 +183,7 @@ def _cut(text: pa.Array, asked: pa.Array) -> pa.Array:
 def mixed_pieces(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """docs' columns, and a struct `slot` of (shard, slot, pass, block, at): a row for each piece of a
     document in each slot that its block was drawn for. text is the piece."""
+    text_batches(docs.sparkSession)
     docs = one_row_per_id(docs)
     where = positions(docs, seed)
     plan = slot_plan(where, weights, block, slots, seed)

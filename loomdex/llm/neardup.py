@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, small_side
+from loomdex.llm.common import materialize, small_side, text_batches
 from loomdex.llm.components import components
 from loomdex.llm.shingles import U64, grams, mix64, slices, string_buffers, words
 
@@ -168,6 +168,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts differ, each text may link the doc_id. Texts of fewer words than a shingle are compared as a
     whole. Columns other than doc_id and text are not read.
     """
+    text_batches(docs.sparkSession)
     signed = equal_sets(docs)
     spread = buckets(signed)
     star = materialize(spread.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import quoted
+from loomdex.llm.common import quoted, text_batches
 
 THRESHOLD = 0.5
 NEAR = 48
@@ -175,6 +175,7 @@ def pii_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     start and end count characters from 0. Null and empty texts have no spans; a null doc_id is
     reported as null; repeated rows are reported each. Other columns are not read.
     """
+    text_batches(docs.sparkSession)
     spans = docs.select("doc_id", quoted("text").alias("text"), F.explode(pii_spans(quoted("text"), threshold)).alias("s"))
     return spans.select("doc_id", "s.kind", "s.start", "s.end", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"), "s.score")
 
@@ -186,6 +187,7 @@ def redact_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([redact(t.as_py(), threshold) for t in texts], pa.string())
 
+    text_batches(docs.sparkSession)
     out = docs.withColumn("text", F.arrow_udf(run, "string")(quoted("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import fresh_name, quoted
+from loomdex.llm.common import fresh_name, quoted, text_batches
 
 MIN_REPEAT = 50  # characters; shorter repeats are ordinary language
 MAX_COVERED = 0.40  # fraction of a document's characters inside repeats
@@ -174,6 +174,7 @@ def repetition(text: Column, min_repeat: int = MIN_REPEAT) -> Column:
 
 
 def with_repetition(docs: DataFrame, min_repeat: int = MIN_REPEAT) -> tuple[DataFrame, str]:
+    text_batches(docs.sparkSession)
     name = fresh_name(docs, "repetition")
     return docs.withColumn(name, repetition(quoted("text"), min_repeat)), name
 
@@ -195,6 +196,7 @@ def keep_unrepetitive(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered
 
 def repetition_report(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """(doc_id, chars, covered, covered_fraction, longest) of the rows that keep_unrepetitive keeps."""
+    text_batches(docs.sparkSession)
     measured = docs.select("doc_id", repetition(quoted("text"), min_repeat).alias("m"))
     m = F.col("m")
     fraction = F.when(m["chars"] > 0, m["covered"] / m["chars"]).otherwise(F.lit(0.0))

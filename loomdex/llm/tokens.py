@@ -18,7 +18,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import quoted
+from loomdex.llm.common import quoted, text_batches
 from loomdex.llm.shingles import slices, string_buffers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -201,6 +201,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     Null and empty texts have 0 tokens. Rows that repeat a doc_id are added up; rows with a null doc_id
     are left out. Other columns are not read.
     """
+    text_batches(docs.sparkSession)
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), quoted("text").alias("text"))
     frequencies = rows.mapInArrow(_frequencies, "token string, spread bigint, postings binary")
     partial = frequencies.repartition("token", "spread").mapInArrow(_partial_counts(vocabulary), "block bigint, partial binary")
@@ -273,5 +274,6 @@ def packed_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = ID
     read_ids unpacks any range. Null and empty texts have no ids and offsets [0]. Every row of docs
     gives one row, repeated or null doc_ids too. Other columns are not read.
     """
+    text_batches(docs.sparkSession)
     packed = F.arrow_udf(_packed(vocabulary, block), "struct<n_tokens:bigint,bits:int,offsets:array<bigint>,packed:binary>")(quoted("text"))
     return docs.select("doc_id", packed.alias("p")).select("doc_id", "p.*")

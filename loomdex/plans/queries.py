@@ -1,4 +1,281 @@
-"""The engine's own queries over the tables of a data folder, and the SQL that each is checked against."""
+"""The engine's own queries over the tables of a data folder; plans.oracles has the SQL of each."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomdex.functions import expressions as X
+from loomdex.operators import fusion, lexical, metrics, segments, sets, vectors
+from loomdex.plans import search
+from loomdex.plans.oracles import ORACLE_SQL
+from loomdex.sources import corpus
+from loomdex.sources.storage import work_path
+from loomdex.streaming import ingest
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+SHARDS, FLUSH_AT = search.SHARDS, 64
+SEEKS = [("the", 10), ("the", 100), ("and", 57), ("de", 150), ("the", 2_000_000_000)]
+
+
+def _round(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.texts(spark, sf_dir)
+    asked = corpus.queries(spark, sf_dir)
+    posted = lexical.postings(docs, sorted({t for q in corpus.QUERIES for t in q[1]}))
+    return lexical.search_and(posted, asked).select("query_id", "doc_id", _round("score").alias("score"), "rank")
+
+
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.term_frequency(corpus.texts(spark, sf_dir)).select("term", "doc_id", "tf")
+
+
+def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.doc_lengths(corpus.texts(spark, sf_dir)).select("doc_id", "doc_len")
+
+
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.term_stats(lexical.term_frequency(corpus.texts(spark, sf_dir))).select("term", "df")
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.segment_stats(corpus.texts(spark, sf_dir)).select("n_docs", _round("avg_len").alias("avg_len"))
+
+
+def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.dictionary(corpus.texts(spark, sf_dir))
+
+
+def term_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.with_prefix(lexical.term_stats(lexical.term_frequency(corpus.texts(spark, sf_dir))).select("term", "df"), "th")
+
+
+def bm25_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.postings(corpus.texts(spark, sf_dir)).select("term", "doc_id", "tf", "doc_len", _round(F.col("impact").cast("double")).alias("impact"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.texts(spark, sf_dir).select(X.shard_of(F.col("doc_id"), SHARDS).alias("segment"), "doc_id", "terms")
+    return lexical.blocks(lexical.postings(docs))
+
+
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocks(spark, sf_dir).withColumn("max_impact", _round(F.col("max_impact").cast("double")))
+
+
+def contributing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.can_contribute(_blocks(spark, sf_dir), 1.5).select("segment", "term", "block_no")
+
+
+def _seek_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return lexical.postings(corpus.texts(spark, sf_dir), sorted({t for t, _ in SEEKS})), spark.createDataFrame(SEEKS, "term string, target bigint")
+
+
+def posting_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.seek(*_seek_input(spark, sf_dir))
+
+
+def posting_past_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.past_block(*_seek_input(spark, sf_dir))
+
+
+def acl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.readable(corpus.indexed(corpus.events(spark, sf_dir), F.lit(0)), corpus.queries(spark, sf_dir))
+
+
+def acl_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked = corpus.indexed(corpus.events(spark, sf_dir), F.lit(0)), corpus.queries(spark, sf_dir)
+    posted = lexical.postings(index, sorted({t for q in corpus.QUERIES for t in q[1]}))
+    return lexical.search_and(posted, asked, allowed=sets.readable(index, asked)).select("query_id", "doc_id", _round("score").alias("score"), "rank")
+
+
+def _two_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = corpus.table(spark, sf_dir, "documents")
+    return docs.where("lang = 'en'").select("doc_id"), corpus.tombstones(spark, sf_dir)
+
+
+def bitset_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.union_ids(*_two_sets(spark, sf_dir))
+
+
+def bitset_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.intersect_ids(*_two_sets(spark, sf_dir))
+
+
+def bitset_andnot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.subtract_ids(*_two_sets(spark, sf_dir))
+
+
+def bitset_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    english, deleted = _two_sets(spark, sf_dir)
+    return sets.contains(english, deleted.distinct())
+
+
+def bitset_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.chunks(corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")))
+
+
+def bitset_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.cardinality(corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")))
+
+
+def tombstone_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.live(corpus.events(spark, sf_dir).select("doc_id"), corpus.tombstones(spark, sf_dir))
+
+
+def forward_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = bm25_and_topk(spark, sf_dir).select("query_id", "doc_id")
+    return hits.join(corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("payload")), "doc_id").select("query_id", "doc_id", F.md5("payload").alias("payload_md5"))
+
+
+def pq_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.codebook(corpus.table(spark, sf_dir, "embeddings")).select("m", "k", F.posexplode("centroid").alias("j", "x")).select("m", "k", "j", _round(F.col("x").cast("double")).alias("x"))
+
+
+def _book(spark: SparkSession, sf_dir: str):
+    return vectors.collect_codebook(vectors.codebook(corpus.table(spark, sf_dir, "embeddings")))
+
+
+def _codes(spark: SparkSession, sf_dir: str, book) -> DataFrame:
+    return corpus.table(spark, sf_dir, "embeddings").select(F.lit(0).alias("segment"), F.col("vec_id").alias("doc_id"), vectors.encode(F.col("embedding"), book).alias("code"))
+
+
+def _tables(spark: SparkSession, sf_dir: str, book) -> DataFrame:
+    return corpus.queries(spark, sf_dir).select("*", vectors.distance_table(F.col("dense_vector"), book).alias("lut"))
+
+
+def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes(spark, sf_dir, _book(spark, sf_dir)).select("doc_id", F.posexplode("code").alias("m", "code")).select("doc_id", "m", F.col("code").cast("int").alias("code"))
+
+
+def adc_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tables(spark, sf_dir, _book(spark, sf_dir)).select("query_id", F.posexplode("lut").alias("i", "d"))
+    return rows.select("query_id", F.floor(F.col("i") / vectors.K).cast("int").alias("m"), (F.col("i") % vectors.K).alias("k"), _round(F.col("d").cast("double")).alias("d"))
+
+
+def adc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = _book(spark, sf_dir)
+    return vectors.search(_codes(spark, sf_dir, book), _tables(spark, sf_dir, book)).select("query_id", "doc_id", _round("score").alias("score"), "rank")
+
+
+def adc_topk_acl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book, asked = _book(spark, sf_dir), corpus.queries(spark, sf_dir)
+    allowed = sets.readable(corpus.indexed(corpus.events(spark, sf_dir), F.lit(0)), asked)
+    return vectors.search(_codes(spark, sf_dir, book), _tables(spark, sf_dir, book), allowed=allowed).select("query_id", "doc_id", _round("score").alias("score"), "rank")
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [acl_bm25(spark, sf_dir), adc_topk_acl(spark, sf_dir)]
+
+
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fuse(_channels(spark, sf_dir), ["query_id"], 10).select("query_id", "doc_id", _round("score").alias("score"), "rank")
+
+
+def maxsim_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = fusion.fuse(_channels(spark, sf_dir), ["query_id"], 1000)
+    return fusion.rerank(fused, corpus.queries(spark, sf_dir), corpus.events(spark, sf_dir), ["query_id"]).select("query_id", "doc_id", _round("score").alias("score"), "rank")
+
+
+def shard_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", X.shard_of(F.col("doc_id"), 8).alias("shard"))
+
+
+def _search_input(spark: SparkSession, sf_dir: str):
+    return corpus.events(spark, sf_dir), corpus.queries(spark, sf_dir), corpus.tombstones(spark, sf_dir), _book(spark, sf_dir)
+
+
+def shard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.shard_search(*_search_input(spark, sf_dir)).select("query_id", "segment", "doc_id", _round("score").alias("score"), "rank")
+
+
+def cluster_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.cluster_search(*_search_input(spark, sf_dir)).withColumn("score", _round("score"))
+
+
+def segment_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.segment_documents(corpus.table(spark, sf_dir, "documents").select("doc_id"), SHARDS, FLUSH_AT)
+
+
+def _segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.stats(segment_assignment(spark, sf_dir), corpus.tombstones(spark, sf_dir), ["shard", "segment_no"])
+
+
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_stats(spark, sf_dir).select("shard", "segment_no", "n_docs", "live_docs")
+
+
+def tombstone_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segment_stats(spark, sf_dir).select("shard", "segment_no", "n_tombstones", _round("tombstone_ratio").alias("tombstone_ratio"))
+
+
+def live_segment_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_assignment(spark, sf_dir).agg(F.countDistinct("shard").alias("live_shards"), F.countDistinct("shard", "segment_no").alias("segments"))
+
+
+def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.pick_merge(_segment_stats(spark, sf_dir).withColumn("position", F.col("segment_no")), ["shard"], 0.1)
+
+
+def merge_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _picked(spark, sf_dir).select("shard", "segment_no", "live_docs", "pick")
+
+
+def merge_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = segment_assignment(spark, sf_dir).select("shard", "segment_no", "doc_id")
+    return segments.compact(docs, _picked(spark, sf_dir), corpus.tombstones(spark, sf_dir), ["shard"], "segment_no")
+
+
+def tier_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = corpus.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 97 + 1).alias("top_k"), (F.col("o_custkey") % 6).alias("n_terms"))
+    return orders.select("o_orderkey", X.tier(F.col("top_k"), F.col("n_terms")).alias("tier"))
+
+
+def metrics_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.counters(corpus.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.lit(1).alias("delta")))
+
+
+def metrics_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value", F.struct("ts", "event_id").alias("seq"))
+    return metrics.gauges(rows).select("name", _round("value").alias("value"))
+
+
+def metrics_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value")
+    return metrics.percentiles(rows, [0.0, 0.5, 0.9, 0.99, 1.0]).select("name", "p", _round("value").alias("value"))
+
+
+def metrics_histogram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram_counts(corpus.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "value"))
+
+
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.status_of_stream(spark, sf_dir, work_path(spark, "ingest"), SHARDS, FLUSH_AT)
+
+
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate search by a graph of each segment: no SQL; tests compare it with the exact scan."""
+    docs = search.segment_documents(corpus.events(spark, sf_dir), SHARDS, 512)
+    rows = docs.select((F.col("shard") * 1_000_000 + F.col("segment_no")).cast("int").alias("segment"), "doc_id", "embedding", "acl_tokens")
+    asked = corpus.queries(spark, sf_dir).select("query_id", F.col("dense_vector").alias("vector"), X.principal_tokens(F.col("user_id"), F.col("acl_tokens")).alias("tokens")).toPandas()  # the batch of queries
+    return vectors.graph_search(rows, pd.DataFrame(asked), _book(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        bm25_and_topk, term_frequency, doc_stats, term_stats, index_stats, term_dictionary, term_prefix, bm25_impacts, posting_blocks,
+        contributing_blocks, posting_seek, posting_past_block, acl_filter, acl_bm25, bitset_or, bitset_and, bitset_andnot, bitset_contains,
+        bitset_chunks, bitset_cardinality, tombstone_live, forward_fetch, pq_codebook, pq_encode, adc_lut, adc_topk, adc_topk_acl, rrf_fuse,
+        maxsim_rerank, shard_route, shard_search, cluster_search, segment_assignment, segment_stats, tombstone_ratio, live_segment_count,
+        merge_pick, merge_compact, tier_classify, metrics_counters, metrics_gauges, metrics_percentiles, metrics_histogram_counts,
+        ingest_stream, graph_search,
+    )
+}
