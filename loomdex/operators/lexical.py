@@ -81,11 +81,19 @@ def past_block(posted: DataFrame, targets: DataFrame, size: int = BLOCK) -> Data
     return hits.groupBy("term", "target").agg(F.min(F.when(F.col("doc_id") > F.col("last"), F.col("doc_id"))).alias("doc_id"))
 
 
+DICTIONARY_CHUNK = 1 << 16
+
+
 def dictionary(docs: DataFrame) -> DataFrame:
     """(term, ordinal): distinct terms numbered from 0 in the order of their first document, then of the
-    term. Numbers are dense, so their order is one sort of the distinct terms."""
+    term. Each run of DICTIONARY_CHUNK ids numbers the terms that it is first to have, and the runs' counts,
+    a row a run, are added up."""
     first = docs.select("doc_id", F.explode("terms").alias("term")).groupBy("term").agg(F.min("doc_id").alias("doc_id"))
-    return first.select("term", (F.row_number().over(W.orderBy("doc_id", "term")) - 1).alias("ordinal"))
+    first = first.withColumn("chunk", F.floor(F.col("doc_id") / DICTIONARY_CHUNK))
+    own = F.row_number().over(W.partitionBy("chunk").orderBy("doc_id", "term")) - 1
+    totals = first.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = totals.select("chunk", (F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before"))
+    return first.withColumn("own", own).join(before, "chunk").select("term", (F.col("before") + F.col("own")).alias("ordinal"))
 
 
 def with_prefix(term_table: DataFrame, prefix: str) -> DataFrame:

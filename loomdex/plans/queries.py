@@ -12,14 +12,13 @@ from loomdex.functions import expressions as X
 from loomdex.operators import fusion, lexical, metrics, segments, sets, vectors
 from loomdex.plans import search
 from loomdex.plans.oracles import ORACLE_SQL
+from loomdex.plans.settings import FLUSH_AT, MERGE_RATIO, SEEKS, SHARDS
 from loomdex.sources import corpus
 from loomdex.sources.storage import work_path
 from loomdex.streaming import ingest
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-SHARDS, FLUSH_AT = search.SHARDS, 64
-SEEKS = [("the", 10), ("the", 100), ("and", 57), ("de", 150), ("the", 2_000_000_000)]
 
 
 def _round(c: str | Column) -> Column:
@@ -221,7 +220,7 @@ def live_segment_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.pick_merge(_segment_stats(spark, sf_dir).withColumn("position", F.col("segment_no")), ["shard"], 0.1)
+    return segments.pick_merge(_segment_stats(spark, sf_dir).withColumn("position", F.col("segment_no")), ["shard"], MERGE_RATIO)
 
 
 def merge_pick(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import expressions as X
 from loomdex.operators import fusion, lexical, segments, sets, vectors
+from loomdex.plans.settings import FIRST_STAGE, SHARDS
 from loomdex.sources import corpus
 
-SHARDS = 4
-FIRST_STAGE = 1000
-
 
 def shard_search(docs: DataFrame, queries: DataFrame, deleted: DataFrame, book, shards: int = SHARDS, first_stage: int = FIRST_STAGE) -> DataFrame:
     """(query_id, segment, doc_id, score, rank) for every query and shard of document events: the best of
