@@ -30,6 +30,8 @@ SLOTS = 512  # blocks in an output shard
 TEMPERATURE = 0.7  # default target weights: token counts to this power
 SEED = 1234
 CHUNK_DOCS = 50_000  # documents of a source whose running token count one task keeps
+TASK_SHARDS = 64  # output shards that one task draws
+CHUNK_SHARDS = 4096  # output shards whose running slot counts one task keeps
 
 
 def word_starts(data: np.ndarray) -> np.ndarray:
@@ -143,9 +145,15 @@ def slot_plan(where: DataFrame, weights: dict[str, float] | None = None, block:
                     yield pd.DataFrame({"shard": [shard], "name": [names[i]], "count": [counts[i]], "at": [np.flatnonzero(order == i).astype(np.int32)]})
 
     n_shards = -(-n_slots // slots)
-    drawn = spark.range(0, n_shards, 1, max(1, min(n_shards, 200))).mapInPandas(draw, "shard bigint, name string, count bigint, at array<int>")
-    drawn = drawn.withColumn("before", F.sum("count").over(W.partitionBy("name").orderBy("shard")) - F.col("count"))
-    rows = drawn.select("shard", "name", "before", F.posexplode("at").alias("i", "slot"))
+    shards = spark.range(0, n_shards, 1, max(1, -(-n_shards // TASK_SHARDS)))
+    drawn = shards.mapInPandas(draw, "shard bigint, name string, count bigint, at array<int>")
+    counts = shards.mapInPandas(lambda batches: (b[["shard", "name", "count"]] for b in draw(batches)), "shard bigint, name string, count bigint")
+    counts = counts.withColumn("chunk", F.floor(F.col("shard") / CHUNK_SHARDS))
+    chunks = counts.groupBy("name", "chunk").agg(F.sum("count").alias("whole"))
+    chunks = chunks.select("name", "chunk", (F.sum("whole").over(W.partitionBy("name").orderBy("chunk")) - F.col("whole")).alias("passed"))
+    inner = F.sum("count").over(W.partitionBy("name", "chunk").orderBy("shard")) - F.col("count")
+    before = counts.withColumn("inner", inner).join(chunks, ["name", "chunk"]).select("shard", "name", (F.col("passed") + F.col("inner")).alias("before"))
+    rows = drawn.join(before, ["shard", "name"]).select("shard", "name", "before", F.posexplode("at").alias("i", "slot"))
 
     def look_up(name: pa.Array, k: pa.Array) -> pa.Array:
         name, k = np.array(name.to_pylist(), object), k.to_numpy(zero_copy_only=False)
