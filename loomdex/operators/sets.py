@@ -18,6 +18,13 @@ def readable(docs: DataFrame, principals: DataFrame) -> DataFrame:
     return grants.join(F.broadcast(asked), "term").select("query_id", "doc_id").distinct()  # a batch of principals
 
 
+def readable_postings(posted: DataFrame, principals: DataFrame) -> DataFrame:
+    """readable() from postings(term, doc_id): the union of the lists of each principal's access terms."""
+    asked = principals.select("query_id", F.explode(X.acl_terms(X.principal_tokens(F.col("user_id"), F.col("acl_tokens")))).alias("term"))
+    wanted = [r["term"] for r in asked.select("term").distinct().collect()]  # a batch of principals
+    return posted.where(F.col("term").isin(wanted)).join(F.broadcast(asked), "term").select("query_id", "doc_id").distinct()
+
+
 def union_ids(*sets: DataFrame) -> DataFrame:
     out = sets[0].select("doc_id")
     for s in sets[1:]:

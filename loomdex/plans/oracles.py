@@ -108,11 +108,28 @@ _ALL_VECTORS = "vs AS (SELECT 0 AS segment, vec_id AS doc_id, embedding AS v FRO
 _ACL_NEAR = (_BOOK, _LUT, _ALL_VECTORS, _codes("vs"), _near("query_id", "top_k", True))
 
 _BY = "query_id, segment"
-_SHARDED = (
-    _EVENTS, _ASKED, _CAN, _DEAD, _routed("ev", SHARDS), f"docs AS (SELECT shard AS segment, doc_id, {_INDEXED} AS terms FROM ev JOIN routed USING (doc_id))", _POSTINGS, _words(_BY, "1000", True),
-    _BOOK, _LUT, "vs AS (SELECT shard AS segment, doc_id, embedding AS v FROM ev JOIN routed USING (doc_id))", _codes("vs"), _near(_BY, "1000", True), _fused(_BY, 1000), _reranked(_BY),
-    "found AS (SELECT query_id, segment, doc_id, score, row_number() OVER (PARTITION BY query_id, segment ORDER BY score DESC, doc_id)::INT AS rank FROM best ANTI JOIN dead USING (doc_id))",
-)
+
+
+def _sharded(placed: str) -> tuple[str, ...]:
+    """found(query_id, segment, doc_id, score, rank), documents being in the segments of placed(doc_id, segment)."""
+    return (
+        _EVENTS, _ASKED, _CAN, _DEAD, _routed("ev", SHARDS), f"placed AS ({placed})", f"docs AS (SELECT segment, doc_id, {_INDEXED} AS terms FROM ev JOIN placed USING (doc_id))", _POSTINGS, _words(_BY, "1000", True),
+        _BOOK, _LUT, "vs AS (SELECT segment, doc_id, embedding AS v FROM ev JOIN placed USING (doc_id))", _codes("vs"), _near(_BY, "1000", True), _fused(_BY, 1000), _reranked(_BY),
+        "found AS (SELECT query_id, segment, doc_id, score, row_number() OVER (PARTITION BY query_id, segment ORDER BY score DESC, doc_id)::INT AS rank FROM best ANTI JOIN dead USING (doc_id))",
+    )
+
+
+def _cluster(placed: str) -> str:
+    return _with(
+        *_sharded(placed), "merged AS (SELECT query_id, doc_id, top_k, 1e0 / (60 + rank) AS score FROM found JOIN asked USING (query_id))",
+        "final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM merged)",
+        select="SELECT query_id, doc_id, round(score, 6) AS score, rank, false AS partial FROM final WHERE rank <= top_k",
+    )
+
+
+_BY_SHARD = "SELECT doc_id, shard AS segment FROM routed"
+_BY_FLUSH = f"SELECT doc_id, shard * 1000000 + (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1) // {FLUSH_AT} AS segment FROM routed"
+_LATEST = f"SELECT doc_id, segment FROM ({_BY_FLUSH}) QUALIFY segment = max(segment) OVER (PARTITION BY segment // 1000000)"
 
 _BLOCKS = (
     f"texts AS (SELECT doc_id, {_TERMS} AS terms FROM documents)", _routed("texts", SHARDS), "docs AS (SELECT shard AS segment, doc_id, terms FROM texts JOIN routed USING (doc_id))", _POSTINGS,
@@ -172,12 +189,10 @@ ORACLE_SQL: dict[str, str] = {
     "rrf_fuse": _with(*_ACL_WORDS, *_ACL_NEAR, _fused("query_id", 10), select=_HITS + "fused"),
     "maxsim_rerank": _with(*_ACL_WORDS, *_ACL_NEAR, _fused("query_id", 1000), _reranked("query_id"), select=_HITS + "best"),
     "shard_route": _with(_routed("documents", 8), select="SELECT doc_id, shard FROM routed"),
-    "shard_search": _with(*_SHARDED, select="SELECT query_id, segment, doc_id, round(score, 6) AS score, rank FROM found"),
-    "cluster_search": _with(
-        *_SHARDED, "merged AS (SELECT query_id, doc_id, top_k, 1e0 / (60 + rank) AS score FROM found JOIN asked USING (query_id))",
-        "final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM merged)",
-        select="SELECT query_id, doc_id, round(score, 6) AS score, rank, false AS partial FROM final WHERE rank <= top_k",
-    ),
+    "shard_search": _with(*_sharded(_BY_SHARD), select="SELECT query_id, segment, doc_id, round(score, 6) AS score, rank FROM found"),
+    "cluster_search": _cluster(_BY_SHARD),
+    "stored_search": _cluster(_BY_FLUSH),
+    "latest_segment_search": _cluster(_LATEST),
     "segment_assignment": _with(*_SEGMENTS, select="SELECT doc_id, shard, seq, segment_no FROM assigned"),
     "segment_stats": _with(*_SEGMENTS, _SEGMENT_STATS, select="SELECT shard, segment_no, n_docs, live_docs FROM segs"),
     "tombstone_ratio": _with(*_SEGMENTS, _SEGMENT_STATS, select="SELECT shard, segment_no, n_tombstones, round(tombstone_ratio, 6) AS tombstone_ratio FROM segs"),

@@ -14,6 +14,7 @@ from loomdex.plans import search
 from loomdex.plans.oracles import ORACLE_SQL
 from loomdex.plans.settings import FLUSH_AT, MERGE_RATIO, SEEKS, SHARDS
 from loomdex.sources import corpus
+from loomdex.sources.index import StoredIndex
 from loomdex.sources.storage import work_path
 from loomdex.streaming import ingest
 
@@ -199,6 +200,21 @@ def cluster_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cluster_search(*_search_input(spark, sf_dir)).withColumn("score", _round("score"))
 
 
+def _stored(spark: SparkSession, sf_dir: str, visibility: str) -> DataFrame:
+    docs, asked, deleted, book = _search_input(spark, sf_dir)
+    index = StoredIndex(spark, work_path(spark, "index"), book)
+    index.flush(search.segment_documents(docs, SHARDS, FLUSH_AT))
+    return search.stored_search(index, asked, deleted, visibility).withColumn("score", _round("score"))
+
+
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "all")
+
+
+def latest_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "latest")
+
+
 def segment_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.segment_documents(corpus.table(spark, sf_dir, "documents").select("doc_id"), SHARDS, FLUSH_AT)
 
@@ -273,7 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bm25_and_topk, term_frequency, doc_stats, term_stats, index_stats, term_dictionary, term_prefix, bm25_impacts, posting_blocks,
         contributing_blocks, posting_seek, posting_past_block, acl_filter, acl_bm25, bitset_or, bitset_and, bitset_andnot, bitset_contains,
         bitset_chunks, bitset_cardinality, tombstone_live, forward_fetch, pq_codebook, pq_encode, adc_lut, adc_topk, adc_topk_acl, rrf_fuse,
-        maxsim_rerank, shard_route, shard_search, cluster_search, segment_assignment, segment_stats, tombstone_ratio, live_segment_count,
+        maxsim_rerank, shard_route, shard_search, cluster_search, stored_search, latest_segment_search, segment_assignment, segment_stats, tombstone_ratio, live_segment_count,
         merge_pick, merge_compact, tier_classify, metrics_counters, metrics_gauges, metrics_percentiles, metrics_histogram_counts,
         ingest_stream, graph_search,
     )

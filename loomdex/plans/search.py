@@ -9,33 +9,58 @@ from loomdex.functions import expressions as X
 from loomdex.operators import fusion, lexical, segments, sets, vectors
 from loomdex.plans.settings import FIRST_STAGE, SHARDS
 from loomdex.sources import corpus
+from loomdex.sources.index import StoredIndex
 
 
-def shard_search(docs: DataFrame, queries: DataFrame, deleted: DataFrame, book, shards: int = SHARDS, first_stage: int = FIRST_STAGE) -> DataFrame:
-    """(query_id, segment, doc_id, score, rank) for every query and shard of document events: the best of
+def wanted_terms(queries: DataFrame) -> list[str]:
+    """The distinct terms of a batch of queries, which are checked."""
+    asked = queries.select("lexical_terms", "top_k").collect()  # a batch of queries
+    lexical.check_queries([r["lexical_terms"] for r in asked], [r["top_k"] for r in asked])
+    return sorted({t for r in asked for t in r["lexical_terms"]})
+
+
+def search_tables(posted: DataFrame, codes: DataFrame, tokens: DataFrame, allowed: DataFrame, queries: DataFrame, deleted: DataFrame, book, first_stage: int = FIRST_STAGE) -> DataFrame:
+    """(query_id, segment, doc_id, score, rank) for every query and segment of an index: the best of
     conjunctive BM25 and of the vectors among what the query may read, fused, cut, reranked by late
     interaction, cut at top_k, and only then without deleted documents, which are not replaced. rank
     counts what is left."""
-    own = X.shard_of(F.col("doc_id"), shards)
-    index = corpus.indexed(docs, own)
-    wanted = sorted({t for r in queries.select("lexical_terms").collect() for t in r["lexical_terms"]})  # the batch's terms
-    allowed = sets.readable(index, queries)
     by = ("query_id", "segment")
-    words = lexical.search_and(lexical.postings(index, wanted), queries, by, allowed, first_stage)
-    codes = docs.select(own.alias("segment"), "doc_id", vectors.encode(F.col("embedding"), book).alias("code"))
+    words = lexical.search_and(posted, queries, by, allowed, first_stage)
     tables = queries.select("query_id", "top_k", vectors.distance_table(F.col("dense_vector"), book).alias("lut"))
     near = vectors.search(codes, tables, by, allowed, first_stage)
-    fused = fusion.fuse([words, near], list(by), first_stage)
-    best = fusion.rerank(fused, queries, docs, list(by))
+    best = fusion.rerank(fusion.fuse([words, near], list(by), first_stage), queries, tokens, list(by))
     return lexical.top_k(sets.live(best, deleted).drop("rank"), list(by))
 
 
+def merged(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score, rank, partial): lists of segments, each a channel of rank fusion, so that the
+    best of every segment come first; cut at top_k."""
+    scored = found.join(F.broadcast(queries.select("query_id", "top_k")), "query_id").withColumn("score", X.rrf(F.array("rank")))
+    return lexical.top_k(scored.select("query_id", "top_k", "doc_id", "score"), ["query_id"], F.col("top_k")).select("query_id", "doc_id", "score", "rank", F.lit(False).alias("partial"))
+
+
+def shard_search(docs: DataFrame, queries: DataFrame, deleted: DataFrame, book, shards: int = SHARDS, first_stage: int = FIRST_STAGE) -> DataFrame:
+    """search_tables over document events, each shard a segment."""
+    own = X.shard_of(F.col("doc_id"), shards)
+    index = corpus.indexed(docs, own)
+    codes = docs.select(own.alias("segment"), "doc_id", vectors.encode(F.col("embedding"), book).alias("code"))
+    return search_tables(lexical.postings(index, wanted_terms(queries)), codes, docs, sets.readable(index, queries), queries, deleted, book, first_stage)
+
+
+def stored_search(index: StoredIndex, queries: DataFrame, deleted: DataFrame, visibility: str = "all", first_stage: int = FIRST_STAGE) -> DataFrame:
+    """cluster_search over a stored index, each visible segment a channel. Only the postings of the queries'
+    terms and of their access tokens are read."""
+    postings = index.visible("postings", visibility)
+    posted = postings.where(F.col("term").isin(wanted_terms(queries)))
+    allowed = sets.readable_postings(postings, queries)
+    found = search_tables(posted, index.visible("codes", visibility), index.visible("tokens", visibility), allowed, queries, deleted, index.book, first_stage)
+    return merged(found, queries)
+
+
 def cluster_search(docs: DataFrame, queries: DataFrame, deleted: DataFrame, book, shards: int = SHARDS, first_stage: int = FIRST_STAGE) -> DataFrame:
     """(query_id, doc_id, score, rank, partial): the shards' lists, each a channel of rank fusion, so that
     the best of every shard come first; cut at top_k."""
-    found = shard_search(docs, queries, deleted, book, shards, first_stage)
-    scored = found.join(F.broadcast(queries.select("query_id", "top_k")), "query_id").withColumn("score", X.rrf(F.array("rank")))
-    return lexical.top_k(scored.select("query_id", "top_k", "doc_id", "score"), ["query_id"], F.col("top_k")).select("query_id", "doc_id", "score", "rank", F.lit(False).alias("partial"))
+    return merged(shard_search(docs, queries, deleted, book, shards, first_stage), queries)
 
 
 def search_with_deadline(spark, docs: DataFrame, queries: DataFrame, deleted: DataFrame, book, timeout_s: float, shards: int = SHARDS) -> tuple[list, bool]:
