@@ -103,9 +103,19 @@ def with_prefix(term_table: DataFrame, prefix: str) -> DataFrame:
     return term_table.where(F.startswith("term", F.lit(prefix))).orderBy("term")
 
 
-def top_k(scored: DataFrame, by: list[str], k: Column | int = None) -> DataFrame:
-    """scored(*by, doc_id, score, ...) with a 1-based rank by score (best first, ties by id), cut at k."""
+def most_wanted(queries: DataFrame) -> int:
+    """The largest top_k of a batch of queries."""
+    return queries.agg(F.max("top_k")).first()[0] or 1
+
+
+def top_k(scored: DataFrame, by: list[str], k: Column | int = None, most: int | None = None) -> DataFrame:
+    """scored(*by, doc_id, score, ...) with a 1-based rank by score (best first, ties by id), cut at k.
+
+    most: a number that k does not exceed in any row; with it each task keeps only so many rows of a
+    group before they are shuffled (up to spark.sql.optimizer.windowGroupLimitThreshold)."""
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.asc("doc_id"))))
+    if most is not None:
+        ranked = ranked.where(F.col("rank") <= most)
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
@@ -123,7 +133,8 @@ def search_and(posted: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("qu
     if allowed is not None:
         hits = hits.join(allowed, ["query_id", "doc_id"], "left_semi")
     scored = hits.select("query_id", "top_k", "segment", "doc_id", X.float_sum(F.col("hit.impact")).cast("double").alias("score"))
-    return top_k(scored, list(by), F.col("top_k") if k is None else k).select(*by, "doc_id", "score", "rank")
+    best = top_k(scored, list(by), F.col("top_k"), most_wanted(queries)) if k is None else top_k(scored, list(by), k)
+    return best.select(*by, "doc_id", "score", "rank")
 
 
 def check_queries(lexical_terms: list[list[str]], top_ks: list[int]) -> None:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.operators.lexical import top_k
+from loomdex.operators.lexical import most_wanted, top_k
 
 M, K = 8, 16
 
@@ -93,12 +93,12 @@ def adc(lut: Column, code: Column, m: int = M, k: int = K) -> Column:
 
 def search(codes: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("query_id",), allowed: DataFrame | None = None, k: int | None = None, m: int = M, n_centroids: int = K) -> DataFrame:
     """(*by, doc_id, score, rank): the nearest of codes(segment, doc_id, code) to each of queries(query_id,
-    lut, top_k), by exact scan; the score is the negated distance. allowed: as in search_and."""
-    pairs = codes.crossJoin(F.broadcast(queries.select("query_id", "lut", "top_k")))  # a batch of queries
-    if allowed is not None:
-        pairs = pairs.join(allowed, ["query_id", "doc_id"], "left_semi")
+    lut, top_k), by exact scan; the score is the negated distance. allowed: as in search_and, each pair once."""
+    tables = F.broadcast(queries.select("query_id", "lut", "top_k"))  # a batch of queries
+    pairs = codes.crossJoin(tables) if allowed is None else codes.join(allowed, "doc_id").join(tables, "query_id")
     scored = pairs.select("query_id", "segment", "doc_id", "top_k", (-adc(F.col("lut"), F.col("code"), m, n_centroids)).cast("double").alias("score"))
-    return top_k(scored, list(by), F.col("top_k") if k is None else k).select(*by, "doc_id", "score", "rank")
+    best = top_k(scored, list(by), F.col("top_k"), most_wanted(queries)) if k is None else top_k(scored, list(by), k)
+    return best.select(*by, "doc_id", "score", "rank")
 
 
 # --- graph mode
