@@ -83,3 +83,16 @@ def text_batches(spark: SparkSession) -> None:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint on a written table of ids, if it has at most so many rows; else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id, and all rows without one. Of rows that repeat a doc_id that with the
+    greatest text (then source) is taken, so that every evaluation takes the same. Texts move only if some doc_id
+    repeats."""
+    again = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return docs
+    by = [quoted(c) for c in ("text", "source") if c in docs.columns]
+    picked = F.max_by(F.struct(*map(quoted, docs.columns)), F.struct(*by)).alias("picked")
+    once = docs.join(small_side(again), "doc_id", "left_semi").groupBy("doc_id").agg(picked).select("picked.*")
+    return docs.join(small_side(again), "doc_id", "left_anti").select(*map(quoted, docs.columns)).unionByName(once)

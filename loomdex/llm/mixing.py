@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, quoted, small_side, text_batches
+from loomdex.llm.common import materialize, one_row_per_id, quoted, text_batches
 from loomdex.llm.shingles import U64, mix64, slices, string_buffers
 
 BLOCK = 2048  # tokens
@@ -86,16 +86,6 @@ def _name(docs: DataFrame) -> Column:
     return F.coalesce(quoted("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """Rows with a doc_id, one for each; texts move only if some doc_id repeats."""
-    docs = docs.where(F.col("doc_id").isNotNull())
-    again = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return docs
-    once = docs.join(small_side(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(small_side(again), "doc_id", "left_anti").unionByName(once)
-
-
 def positions(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, name, first, n): each document's source and the tokens it takes in its source's order;
     written. Running counts are kept by chunks of a source, so a hot source is many tasks."""
@@ -192,7 +182,7 @@ def mixed_pieces(docs: DataFrame, weights: dict[str, float] | None = None, block
     """docs' columns, and a struct `slot` of (shard, slot, pass, block, at): a row for each piece of a
     document in each slot that its block was drawn for. text is the piece."""
     text_batches(docs.sparkSession)
-    docs = one_row_per_id(docs)
+    docs = one_row_per_id(docs.where(F.col("doc_id").isNotNull()))
     where = positions(docs, seed)
     plan = slot_plan(where, weights, block, slots, seed)
     asked = pieces(where, block).join(plan, ["name", "block"])

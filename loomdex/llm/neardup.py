@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, small_side, text_batches
+from loomdex.llm.common import materialize, one_row_per_id, quoted, small_side, text_batches
 from loomdex.llm.components import components
 from loomdex.llm.shingles import U64, grams, mix64, slices, string_buffers, words
 
@@ -192,9 +192,4 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     doc_id. Of rows that repeat a doc_id, one stays (they count as one document). Rows with a null
     doc_id, and null or empty texts, have no group and stay."""
     drop = materialize(near_duplicates(docs, threshold).where("doc_id <> group_id").select("doc_id"), "dropped")
-    kept = docs.join(small_side(drop), "doc_id", "left_anti").select(*docs.columns)
-    again = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return kept
-    once = kept.join(small_side(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small_side(again), "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    return one_row_per_id(docs.join(small_side(drop), "doc_id", "left_anti").select(*map(quoted, docs.columns)))

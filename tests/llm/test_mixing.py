@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomdex.llm import mixing
+from loomdex.llm.common import one_row_per_id
 from loomdex.llm.mixing import mix_documents, mixed_blocks, permute, pieces, positions, slot_plan, target_weights, word_starts
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -33,11 +34,15 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def _once(docs):
+    return one_row_per_id(docs.where("doc_id is not null"))
+
+
 def model(docs, block, slots, weights=None, seed=mixing.SEED):
     """Rows (shard, slot, source, pass, block, ((doc_id, piece), ...)) by loops over everything."""
     texts = {r["doc_id"]: (r["source"] or "", r["text"]) for r in docs.collect() if r["doc_id"] is not None and tokens(r["text"])}
     order = defaultdict(list)
-    for r in sorted(positions(mixing.one_row_per_id(docs), seed).collect(), key=lambda r: r["first"]):
+    for r in sorted(positions(_once(docs), seed).collect(), key=lambda r: r["first"]):
         order[r["name"]].append(r["doc_id"])
     assert sorted(d for v in order.values() for d in v) == sorted(texts)
     blocks = {}
@@ -91,16 +96,16 @@ def test_many_chunks_make_one_order(docs, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK_DOCS", 4)
     for name in ("big", "mid", ""):
         at = 0
-        for r in sorted((r for r in positions(mixing.one_row_per_id(docs)).collect() if r["name"] == name), key=lambda r: r["first"]):
+        for r in sorted((r for r in positions(_once(docs)).collect() if r["name"] == name), key=lambda r: r["first"]):
             assert r["first"] == at
             at += r["n"]
-    cut = sorted((r["name"], r["block"], r["at"], r["hi"] - r["lo"]) for r in pieces(positions(mixing.one_row_per_id(docs)), 32).collect())
+    cut = sorted((r["name"], r["block"], r["at"], r["hi"] - r["lo"]) for r in pieces(positions(_once(docs)), 32).collect())
     for a, b in zip(cut, cut[1:]):
         assert b[2] == (a[2] + a[3] if a[:2] == b[:2] else 0)
 
 
 def test_every_pass_has_every_block(docs):
-    where = positions(mixing.one_row_per_id(docs))
+    where = positions(_once(docs))
     used = defaultdict(list)
     for r in slot_plan(where, {"mid": 1.0}, 16, 8).collect():
         used[r["name"], r["pass"]].append(r["block"])
@@ -111,7 +116,7 @@ def test_every_pass_has_every_block(docs):
 
 def test_many_shards_count_on(docs, monkeypatch):
     """Running counts by chunks of shards are those of all shards."""
-    where = positions(mixing.one_row_per_id(docs))
+    where = positions(_once(docs))
     want = sorted(map(tuple, slot_plan(where, None, 4, 2).collect()))
     monkeypatch.setattr(mixing, "CHUNK_SHARDS", 3)
     assert sorted(map(tuple, slot_plan(where, None, 4, 2).collect())) == want
@@ -144,3 +149,10 @@ def test_table_cases(spark, docs):
     rows = mix_documents(clash, block=2048, slots=4)
     assert rows.columns == clash.columns and sum(len(tokens(r["text"])) for r in rows.collect()) == 20_002
     assert {r["doc_id"] for r in mixed_blocks(clash).selectExpr("explode(doc_ids) as doc_id").collect()} == {1, 2, 3}
+
+
+def test_a_repeated_id_with_other_texts(spark):
+    """The same row is taken wherever the table is evaluated."""
+    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "z " * 5000, "x"), (1, None, "y"), (2, "b", "x")], "doc_id bigint, text string, source string")
+    got = sorted((r["doc_id"], r["text"]) for r in mix_documents(docs, block=1 << 20).collect())
+    assert got == [(1, "z " * 5000), (2, "b")]
