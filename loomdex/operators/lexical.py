@@ -66,6 +66,11 @@ def can_contribute(posted_blocks: DataFrame, floor: float) -> DataFrame:
     return posted_blocks.where(F.col("max_impact") > F.lit(floor).cast("float"))
 
 
+def total_size(posted_blocks: DataFrame) -> DataFrame:
+    """(segment, term, blocks, size): the blocks and the entries of each posting list."""
+    return posted_blocks.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("size"))
+
+
 def seek(posted: DataFrame, targets: DataFrame) -> DataFrame:
     """(term, target, doc_id): for each targets(term, target) the first posting at or after it; null past
     the end."""
@@ -119,6 +124,13 @@ def top_k(scored: DataFrame, by: list[str], k: Column | int = None, most: int |
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def floors(ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, floor): the score that a further document has to exceed: that of rank top_k in
+    ranked(query_id, score, rank), or minus infinity where there are fewer."""
+    full = ranked.join(F.broadcast(queries.select("query_id", "top_k")), "query_id").where(F.col("rank") == F.col("top_k")).select("query_id", "score")  # a batch of queries
+    return queries.select("query_id").join(full, "query_id", "left").select("query_id", F.coalesce("score", F.lit(float("-inf"))).alias("floor"))
+
+
 def search_and(posted: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("query_id",), allowed: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """(*by, doc_id, score, rank): the documents that hold every term of queries(query_id, lexical_terms,
     top_k), scored by the single-precision sum of impacts in the order of the terms. A term given twice

@@ -25,6 +25,18 @@ def readable_postings(posted: DataFrame, principals: DataFrame) -> DataFrame:
     return posted.where(F.col("term").isin(wanted)).join(F.broadcast(asked), "term").select("query_id", "doc_id").distinct()
 
 
+def add_ids(ids: DataFrame, new: DataFrame) -> DataFrame:
+    """The set with new ids; an id that it has changes nothing, a null or negative one fails the query."""
+    checked = F.when(F.coalesce(F.col("doc_id") >= 0, F.lit(False)), F.col("doc_id")).otherwise(F.raise_error(F.lit("an id must be 0 or more")).cast("bigint"))
+    return union_ids(ids, new.select(checked.alias("doc_id")))
+
+
+def ascending(ids: DataFrame) -> DataFrame:
+    """(doc_id, chunk_key, offset): the distinct ids in order, with their high and low bits."""
+    distinct = ids.select("doc_id").distinct()
+    return distinct.select("doc_id", F.shiftright("doc_id", CHUNK_BITS).alias("chunk_key"), F.col("doc_id").bitwiseAND((1 << CHUNK_BITS) - 1).alias("offset")).orderBy("doc_id")
+
+
 def union_ids(*sets: DataFrame) -> DataFrame:
     out = sets[0].select("doc_id")
     for s in sets[1:]:

@@ -163,6 +163,11 @@ ORACLE_SQL: dict[str, str] = {
     "term_prefix": _with(_TEXTS, select="SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(terms) AS term FROM docs) WHERE starts_with(term, 'th') GROUP BY term"),
     "bm25_impacts": _with(_TEXTS, _POSTINGS, select="SELECT term, doc_id, tf, doc_len, round(impact::DOUBLE, 6) AS impact FROM posted"),
     "posting_blocks": _with(*_BLOCKS, select="SELECT segment, term, block_no, n, first_doc, max_doc_id, round(max_impact::DOUBLE, 6) AS max_impact, CASE WHEN max_doc_id = first_doc THEN 1 ELSE length(bin(max_doc_id - first_doc)) END::INT AS bit_width FROM blocks"),
+    "posting_sizes": _with(*_BLOCKS, select="SELECT segment, term, count(*) AS blocks, sum(n)::BIGINT AS size FROM blocks GROUP BY segment, term"),
+    "topk_floor": _with(
+        _TEXTS, _ASKED, _POSTINGS, _words("query_id", "top_k", False),
+        select="SELECT a.query_id, coalesce(round(max(score) FILTER (WHERE rank = top_k), 6), '-inf'::DOUBLE) AS floor FROM asked a LEFT JOIN lexical l ON l.query_id = a.query_id GROUP BY a.query_id",
+    ),
     "contributing_blocks": _with(*_BLOCKS, select="SELECT segment, term, block_no FROM blocks WHERE max_impact > 15e-1::FLOAT"),
     "posting_seek": _with(_TEXTS, _SEEKS, select="SELECT s.term, target, (SELECT min(doc_id) FROM docs WHERE doc_id >= target AND list_contains(terms, s.term)) AS doc_id FROM seeks s"),
     "posting_past_block": _with(
@@ -176,6 +181,8 @@ ORACLE_SQL: dict[str, str] = {
     "bitset_or": _with(*_SETS, select="SELECT doc_id FROM a UNION SELECT doc_id FROM b"),
     "bitset_and": _with(*_SETS, select="SELECT doc_id FROM a INTERSECT SELECT doc_id FROM b"),
     "bitset_andnot": _with(*_SETS, select="SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b"),
+    "bitset_add": "SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT vec_id FROM embeddings",
+    "bitset_ascending": "SELECT DISTINCT l_orderkey AS doc_id, l_orderkey >> 16 AS chunk_key, l_orderkey & 65535 AS \"offset\" FROM lineitem",
     "bitset_contains": _with(*_SETS, select="SELECT doc_id, doc_id IN (SELECT doc_id FROM a) AS present FROM (SELECT DISTINCT doc_id FROM b)"),
     "bitset_chunks": "SELECT l_orderkey >> 16 AS chunk_key, count(DISTINCT l_orderkey) AS cardinality FROM lineitem GROUP BY 1",
     "bitset_cardinality": "SELECT count(DISTINCT l_orderkey) AS cardinality FROM lineitem",

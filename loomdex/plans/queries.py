@@ -70,6 +70,14 @@ def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).withColumn("max_impact", _round(F.col("max_impact").cast("double")))
 
 
+def posting_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.total_size(_blocks(spark, sf_dir))
+
+
+def topk_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.floors(bm25_and_topk(spark, sf_dir), corpus.queries(spark, sf_dir))
+
+
 def contributing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.can_contribute(_blocks(spark, sf_dir), 1.5).select("segment", "term", "block_no")
 
@@ -113,6 +121,14 @@ def bitset_andnot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.subtract_ids(*_two_sets(spark, sf_dir))
 
 
+def bitset_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.add_ids(corpus.tombstones(spark, sf_dir), corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")))
+
+
+def bitset_ascending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.ascending(corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")))
+
+
 def bitset_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     english, deleted = _two_sets(spark, sf_dir)
     return sets.contains(english, deleted.distinct())
@@ -287,7 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bm25_and_topk, term_frequency, doc_stats, term_stats, index_stats, term_dictionary, term_prefix, bm25_impacts, posting_blocks,
-        contributing_blocks, posting_seek, posting_past_block, acl_filter, acl_bm25, bitset_or, bitset_and, bitset_andnot, bitset_contains,
+        posting_sizes, topk_floor, contributing_blocks, posting_seek, posting_past_block, acl_filter, acl_bm25, bitset_or, bitset_and, bitset_andnot, bitset_add, bitset_ascending, bitset_contains,
         bitset_chunks, bitset_cardinality, tombstone_live, forward_fetch, pq_codebook, pq_encode, adc_lut, adc_topk, adc_topk_acl, rrf_fuse,
         maxsim_rerank, shard_route, shard_search, cluster_search, stored_search, latest_segment_search, segment_assignment, segment_stats, tombstone_ratio, live_segment_count,
         merge_pick, merge_compact, tier_classify, metrics_counters, metrics_gauges, metrics_percentiles, metrics_histogram_counts,

@@ -126,6 +126,16 @@ def test_sets(spark):
     assert {r["doc_id"]: r["present"] for r in sets.contains(many, ids(42, 43, -1)).collect()} == {42: True, 43: False, -1: False}
     assert sets.cardinality(many.limit(0)).first()["cardinality"] == 0
     assert of(sets.live(ids(1, 2, 3), ids(2, 9))) == [1, 3]
+    assert of(sets.add_ids(ids(1, 2), ids(2, 3))) == [1, 2, 3]
+    with pytest.raises(Exception, match="0 or more"):
+        sets.add_ids(ids(1), ids(-1)).collect()
+    assert [tuple(r) for r in sets.ascending(ids(65_536, 65_535, 3, 3)).collect()] == [(3, 0, 3), (65_535, 0, 65_535), (65_536, 1, 0)]
+
+
+def test_floor(spark):
+    asked = spark.createDataFrame([(1, 2), (2, 2)], "query_id int, top_k int")
+    ranked = spark.createDataFrame([(1, 10.0, 1), (1, 5.0, 2), (1, 3.0, 3), (2, 4.0, 1)], "query_id int, score double, rank int")
+    assert {r["query_id"]: r["floor"] for r in lexical.floors(ranked, asked).collect()} == {1: 5.0, 2: float("-inf")}
 
 
 def test_access_filter(spark):
