@@ -38,7 +38,8 @@ def _bm25(terms, query, k1=1.2, b=0.75):
             score = np.float32(0)
             for q in query:
                 df, tf = sum(q in t for t in terms.values()), ts.count(q)
-                score += np.float32(math.log((n - df + 0.5) / (df + 0.5) + 1) * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ts) / avg))))
+                norm = k1 * (1 - b) + k1 * b * len(ts) / avg
+                score += np.float32(math.log1p((n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + norm))
             out[d] = float(score)
     return sorted(out.items(), key=lambda x: (-x[1], x[0]))
 
