@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,13 +81,14 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sets = [], []
+        ids, sizes = [], []
         k1, k2, sigs = [], [], []
         all_ids = batch.column(0)
         for i, s in enumerate(gram_sets(batch.column(1))):
             if not len(s):
                 continue
             ids.append(i)
+            sizes.append(len(s))
             k1.append(int(np.bitwise_xor.reduce(mix64(s + U64(1))).view(np.int64)))
             k2.append(int(np.add.reduce(mix64(s ^ U64(0x5851F42D4C957F2D))).view(np.int64)))
             sigs.append(signature(s))
@@ -96,7 +97,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = band_keys(np.stack(sigs))
         flat = pa.array(keys.reshape(-1))
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([all_ids.take(pa.array(ids)), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), bands], ["doc_id", "k1", "k2", "bands"])
+        yield pa.RecordBatch.from_arrays([all_ids.take(pa.array(ids)), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sizes, pa.int64()), bands], ["doc_id", "k1", "k2", "n_grams", "bands"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -104,21 +105,26 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def equal_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, bands), written: `same` is the least document with an equal set of grams;
+    """(doc_id, same, n_grams, bands), written: `same` is the least document with an equal set of grams;
     bands only where that is the document itself."""
-    signed = _texts(docs).mapInArrow(_signed, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    signed = _texts(docs).mapInArrow(_signed, "doc_id bigint, k1 bigint, k2 bigint, n_grams bigint, bands array<bigint>")
     # a repeated doc_id is one document here: that with the least key
     w = W.partitionBy("k1", "k2")
     out = signed.withColumn("same", F.min("doc_id").over(w)).withColumn("n", F.row_number().over(w.orderBy("doc_id")))
-    return materialize(out.select("doc_id", "same", F.when(F.col("n") == 1, F.col("bands")).alias("bands")), "signatures")
+    return materialize(out.select("doc_id", "same", "n_grams", F.when(F.col("n") == 1, F.col("bands")).alias("bands")), "signatures")
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(bucket, doc, least) of every bucket with at least two documents, written."""
+    """(bucket, doc, n_grams, least, least_grams) of every bucket with at least two documents, written."""
     w = W.partitionBy("bucket")
-    rows = signed.where(F.col("bands").isNotNull()).select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket"))
-    rows = rows.withColumn("least", F.min("doc").over(w)).withColumn("most", F.max("doc").over(w))
-    return materialize(rows.where("least <> most").select("bucket", "doc", "least"), "buckets")
+    rows = signed.where(F.col("bands").isNotNull()).select(F.col("doc_id").alias("doc"), "n_grams", F.explode("bands").alias("bucket"))
+    rows = rows.withColumn("first", F.min(F.struct("doc", "n_grams")).over(w)).withColumn("most", F.max("doc").over(w))
+    return materialize(rows.where("first.doc <> most").select("bucket", "doc", "n_grams", F.col("first.doc").alias("least"), F.col("first.n_grams").alias("least_grams")), "buckets")
+
+
+def comparable(n: Column, other: Column, threshold: float) -> Column:
+    """Whether sets of these sizes can have a Jaccard of threshold: it is at most the lesser over the greater."""
+    return F.least(n, other) >= F.lit(threshold) * F.greatest(n, other)
 
 
 def _verify(threshold: float):
@@ -171,16 +177,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     text_batches(docs.sparkSession)
     signed = equal_sets(docs)
     spread = buckets(signed)
-    star = materialize(spread.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    star = materialize(spread.where("doc <> least").where(comparable(F.col("n_grams"), F.col("least_grams"), threshold)).select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     edges = verified(docs, star, threshold)
     labels = components(edges)
     # what the stars left apart: every pair of a bucket whose components still differ
-    named = spread.select("bucket", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
+    named = spread.join(labels, F.col("doc") == F.col("node"), "left").select("bucket", "doc", "n_grams", F.coalesce("label", "doc").alias("label"))
     w = W.partitionBy("bucket")
     open_ = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi")
-    open_ = materialize(open_.select("bucket", "doc", "label"), "open")
+    open_ = materialize(open_.select("bucket", "doc", "n_grams", "label"), "open")
     left, right = open_.alias("x"), open_.alias("y")
-    rest = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    both = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & comparable(F.col("x.n_grams"), F.col("y.n_grams"), threshold))
+    rest = both.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     edges = edges.union(verified(docs, rest, threshold))
     same = signed.where("doc_id <> same").select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
