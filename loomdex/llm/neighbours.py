@@ -29,7 +29,8 @@ K = 10
 M = 8  # even
 CONFIDENCE = 0.95
 CELL = 16_384
-LEAF = 96
+LEAF = 256
+QUERIES = 256  # that go through the leaves together
 SEED = 11
 
 
@@ -148,8 +149,8 @@ _FOUND = "id bigint, other bigint, d double"
 
 def _search(tree: Tree, qid, qv, qp, bound, k: int, quantile: float) -> pa.Table:
     parts = []
-    for s in range(0, max(len(qid), 1), 128):
-        e = s + 128
+    for s in range(0, max(len(qid), 1), QUERIES):
+        e = s + QUERIES
         ids, dist = tree.search(qid[s:e], qv[s:e], qp[s:e], bound[s:e], k, quantile)
         who, where = np.nonzero(np.isfinite(dist))
         parts.append(pa.table({"id": qid[s:e][who], "other": ids[who, where], "d": dist[who, where]}))
@@ -214,8 +215,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, m: int = M, confidence: f
     bound = home.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("b"))
     boxes = materialize(placed.groupBy("cell").agg(F.array(*[F.min(F.col("p")[j]) for j in range(m)]).alias("lo"), F.array(*[F.max(F.col("p")[j]) for j in range(m)]).alias("hi")), "boxes").withColumnRenamed("cell", "to")
     asking = placed.join(bound, "id", "left").withColumn("bound", F.coalesce("b", F.lit(float("inf"))))
-    asking = asking.crossJoin(small_side(boxes)).where((F.col("to") != F.col("cell")) & (_gap(m) <= F.lit(quantile) * F.col("bound"))).select("to", *[F.col(c).alias(f"q_{c}") for c in ("id", "v", "p", "bound")])
-    away = placed.groupBy("cell").cogroup(asking.groupBy("to")).applyInArrow(_away(k, quantile), _FOUND)
+    asking = asking.crossJoin(small_side(boxes)).where((F.col("to") != F.col("cell")) & (_gap(m) <= F.lit(quantile) * F.col("bound")))
+    # a cell that many ask is searched by many tasks, each with about as many queries as a cell has vectors
+    parts = asking.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts"))
+    parts = small_side(materialize(parts, "parts"))
+    asking = asking.join(parts, "to").select("to", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("q_part"), *[F.col(c).alias(f"q_{c}") for c in ("id", "v", "p", "bound")])
+    asked = placed.join(parts, F.col("cell") == F.col("to")).select("id", "v", "p", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    away = asked.groupBy("cell", "part").cogroup(asking.groupBy("to", "q_part")).applyInArrow(_away(k, quantile), _FOUND)
     best = F.row_number().over(W.partitionBy("id").orderBy("d", "other"))
     ranked = home.union(away).withColumn("rank", best).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbor_id"), "rank", F.sqrt("d").alias("distance"))
