@@ -18,14 +18,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import quoted, text_batches
+from loomdex.llm.common import BATCH_BYTES, quoted, text_batches
 from loomdex.llm.shingles import slices, string_buffers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DOC_BLOCK = 1024  # neighbouring doc_ids whose partial counts travel in one row
 ID_BLOCK = 4096  # ids between two offsets of a packed document
-_TEXT = 1 << 22  # bytes of text that are counted together
+_TEXT = 2 * BATCH_BYTES  # bytes of text that are counted together: a whole batch, unless it has a longer text
 HOT = 64  # documents of such a run from which a pre-token's postings are spread over all tasks
 
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
