@@ -213,9 +213,16 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, m: int = M, confidence: f
     home = materialize(placed.groupBy("cell").applyInArrow(_home(k, quantile), _FOUND), "neighbours")
     # what the home cell gives bounds the search elsewhere; without k of them nothing is bounded
     bound = home.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("b"))
-    boxes = materialize(placed.groupBy("cell").agg(F.array(*[F.min(F.col("p")[j]) for j in range(m)]).alias("lo"), F.array(*[F.max(F.col("p")[j]) for j in range(m)]).alias("hi")), "boxes").withColumnRenamed("cell", "to")
+    boxes = placed.groupBy("cell").agg(F.array(*[F.min(F.col("p")[j]) for j in range(m)]).alias("lo"), F.array(*[F.max(F.col("p")[j]) for j in range(m)]).alias("hi"))
+    boxes = materialize(boxes.withColumnRenamed("cell", "to"), "boxes")
+    # first the boxes of about as many subtrees as each has cells, then those of their cells
+    levels = (boxes.agg(F.max(F.length(F.bin("to")))).first()[0] or 1) // 2 + 1
+    boxes = boxes.withColumn("subtree", F.expr(f"shiftright(to, greatest(length(bin(to)) - {levels}, 0))"))
+    wide = boxes.groupBy("subtree").agg(F.array(*[F.min(F.col("lo")[j]) for j in range(m)]).alias("lo"), F.array(*[F.max(F.col("hi")[j]) for j in range(m)]).alias("hi"))
+    near = _gap(m) <= F.lit(quantile) * F.col("bound")
     asking = placed.join(bound, "id", "left").withColumn("bound", F.coalesce("b", F.lit(float("inf"))))
-    asking = asking.crossJoin(small_side(boxes)).where((F.col("to") != F.col("cell")) & (_gap(m) <= F.lit(quantile) * F.col("bound")))
+    asking = asking.crossJoin(small_side(materialize(wide, "subtrees"))).where(near).drop("lo", "hi")
+    asking = asking.join(small_side(materialize(boxes, "cell-boxes")), "subtree").where((F.col("to") != F.col("cell")) & near)
     # a cell that many ask is searched by many tasks, each with about as many queries as a cell has vectors
     parts = asking.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts"))
     parts = small_side(materialize(parts, "parts"))
