@@ -106,8 +106,8 @@ def pack_documents(docs: DataFrame, windows: Sequence[int] = WINDOWS, tokens: Co
     if step_tokens < max(windows):
         raise ValueError("a step must hold a window")
     longest = max(windows)
-    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (byte_tokens(quoted("text")) if tokens is None else tokens).cast("bigint").alias("n")).where("n > 0")
-    counted = materialize(counted, "lengths")
+    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (byte_tokens(quoted("text")) if tokens is None else tokens).cast("bigint").alias("n"))
+    counted = materialize(counted, "lengths").where("n > 0")  # counts are evaluated once, before they are filtered
     total = counted.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
     cut = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("k"))

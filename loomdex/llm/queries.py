@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm import mixing, neardup, neighbours, packing, pii, ranking, repetition, sharding, tokens
-from loomdex.llm.common import fresh_path, table
+from loomdex.llm.common import fresh_path, quoted, table, text_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +45,9 @@ def op6_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document lies in the packed windows and steps."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    """Where each document's tokens, of the 50k vocabulary, lie in the packed windows and steps."""
+    text_batches(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens=tokens.text_tokens(quoted("text")))
 
 
 def op8_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

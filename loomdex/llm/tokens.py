@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.common import BATCH_BYTES, quoted, text_batches
@@ -208,6 +208,17 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return partial.groupBy("block").applyInArrow(_whole_counts, "doc_id bigint, n_tokens bigint")
 
 
+def text_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
+    """Number of ids that the vocabulary's encoding of a text has, counted row by row without moving texts, and
+    one that ends the document; 0 for a null or empty text."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        encode = encoding(vocabulary).encode_ordinary
+        return pa.array([len(encode(s)) + 1 if (s := t.as_py()) else 0 for t in texts], pa.int64())
+
+    return F.arrow_udf(run, "bigint")(text)
+
+
 # --- packed ids
 
 

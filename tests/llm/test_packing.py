@@ -10,7 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomdex.llm.packing import pack, pack_documents, steps
+from loomdex.llm.packing import STEP_TOKENS, pack, pack_documents, steps
+from loomdex.llm.packing import WINDOWS as TIERS
+from loomdex.llm.queries import op7_hierarchical_packing
+from loomdex.llm.tokens import VOCABULARY, encoding
 
 WINDOWS = (16, 64, 256)
 
@@ -91,6 +94,13 @@ def test_all_documents(spark, sf_dir):
     assert len({r["pack_group"] for r in rows}) > 1
 
 
+def test_the_query_packs_tokens_of_the_vocabulary(spark, sf_dir):
+    encode = encoding(VOCABULARY).encode_ordinary
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want = {r["doc_id"]: len(encode(r["text"])) + 1 for r in docs if r["text"]}
+    _check(op7_hierarchical_packing(spark, sf_dir).collect(), want, TIERS, STEP_TOKENS)
+
+
 def test_table_cases(spark):
     rows = [(1, 10, "x"), (2, 10, "x"), (2, 10, "x"), (None, 5, "x"), (None, 5, "x"), (3, None, "x"), (4, 0, "x"), (5, 1000, "x"), (6, -3, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, n bigint, `window` string").withColumn("step", F.lit("clash"))
