@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomdex.llm.common import materialize, table
 from loomdex.llm.mixing import mix_documents
 from loomdex.llm.neardup import drop_near_duplicates
-from loomdex.llm.packing import pack_documents
+from loomdex.llm.packing import pack_pieces
 from loomdex.llm.pii import redact_documents
 from loomdex.llm.repetition import keep_unrepetitive
 
@@ -37,8 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces are packed into context windows of several lengths."""
-    return pack_documents(docs)
+    """The pieces are packed into context windows of several lengths, a row for what lies at each place of a window."""
+    return pack_pieces(docs)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("packing", packing)]

@@ -26,6 +26,7 @@ WINDOWS = (2048, 8192, 32768)  # tokens
 STEP_TOKENS = 1 << 19
 GROUP_TOKENS = 1 << 26
 SCHEMA = "doc_id bigint, start bigint, n_tokens int, window_tokens int, pack_group int, window int, offset int, step int"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def byte_tokens(text: Column) -> Column:
@@ -82,12 +83,13 @@ def steps(sizes: np.ndarray, used: np.ndarray, step_tokens: int = STEP_TOKENS) -
 
 def _packed(windows: Sequence[int], step_tokens: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "start"], ascending=[False, True, True], kind="stable", na_position="first", ignore_index=True)
+        by = ["n_tokens", "doc_id", *(["piece"] if "piece" in rows else []), "start"]
+        rows = rows.sort_values(by, ascending=[False] + [True] * (len(by) - 1), kind="stable", na_position="first", ignore_index=True)
         at, offset, sizes = pack(rows["n_tokens"].to_numpy(), windows)
         sizes = np.array(sizes, np.int64)
         used = np.bincount(at, weights=rows["n_tokens"], minlength=len(sizes)).astype(np.int64)
         step = steps(sizes, used, step_tokens)
-        return rows.assign(window_tokens=sizes[at], window=at, offset=offset, step=step[at])[["doc_id", "start", "n_tokens", "window_tokens", "pack_group", "window", "offset", "step"]]
+        return rows.assign(window_tokens=sizes[at], window=at, offset=offset, step=step[at])[[*COLUMNS, *(["piece"] if "piece" in rows else [])]]
 
     return run
 
@@ -101,16 +103,42 @@ def pack_documents(docs: DataFrame, windows: Sequence[int] = WINDOWS, tokens: Co
     null counts among them, have no row. Repeated rows, and rows with one or no doc_id, are packed each
     by itself. Documents of equal length are ordered by doc_id. Other columns are not read.
     """
+    _refuse(windows, step_tokens)
+    n = byte_tokens(quoted("text")) if tokens is None else tokens
+    return _place(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), n.cast("bigint").alias("n")), windows, step_tokens, group_tokens)
+
+
+def pack_pieces(docs: DataFrame, windows: Sequence[int] = WINDOWS, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """pack_documents of rows that are pieces of documents, several of one doc_id among them, with what lies in the
+    windows: piece is the SHA-256 of the row's text, start counts from that text's beginning, and bytes are those
+    of the text (UTF-8) that lie at the offset. A token is a byte or the end of a piece, which bytes lack.
+
+    Rows of equal length are ordered by doc_id and piece. The texts are brought in last, by a join on piece, each once.
+    """
+    _refuse(windows, step_tokens)
+    text = F.encode(quoted("text"), "UTF-8")
+    pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), byte_tokens(quoted("text")).alias("n"), F.sha2(text, 256).alias("piece"))
+    placed = _place(pieces, windows, step_tokens, group_tokens)
+    texts = docs.where(byte_tokens(quoted("text")) > 0).select(F.sha2(text, 256).alias("piece"), text.alias("whole")).dropDuplicates(["piece"])
+    part = F.substring(F.col("whole"), (F.col("start") + 1).cast("int"), F.col("n_tokens"))
+    return placed.join(texts, "piece").select(*COLUMNS, "piece", part.alias("bytes"))
+
+
+def _refuse(windows: Sequence[int], step_tokens: int) -> None:
     if not windows or min(windows) < 1:
         raise ValueError("windows must be positive")
     if step_tokens < max(windows):
         raise ValueError("a step must hold a window")
+
+
+def _place(docs: DataFrame, windows: Sequence[int], step_tokens: int, group_tokens: int) -> DataFrame:
+    """The rows of docs(doc_id, n), with a column piece or not, in windows."""
     longest = max(windows)
-    counted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (byte_tokens(quoted("text")) if tokens is None else tokens).cast("bigint").alias("n"))
-    counted = materialize(counted, "lengths").where("n > 0")  # counts are evaluated once, before they are filtered
+    counted = materialize(docs, "lengths").where("n > 0")  # counts are evaluated once, before they are filtered
     total = counted.agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    cut = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("k"))
+    own = [c for c in counted.columns if c != "n"]
+    cut = counted.select(*own, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("k"))
     start = F.col("k") * longest
-    placed = cut.select("doc_id", start.alias("start"), F.least(F.lit(longest), F.col("n") - start).cast("int").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "k"), F.lit(groups)).cast("int").alias("pack_group"))
-    return placed.groupBy("pack_group").applyInPandas(_packed(tuple(windows), step_tokens), SCHEMA)
+    placed = cut.select(*own, start.alias("start"), F.least(F.lit(longest), F.col("n") - start).cast("int").alias("n_tokens"), F.pmod(F.xxhash64(*own, "k"), F.lit(groups)).cast("int").alias("pack_group"))
+    return placed.groupBy("pack_group").applyInPandas(_packed(tuple(windows), step_tokens), SCHEMA + ", piece string" * ("piece" in own))

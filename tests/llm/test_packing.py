@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomdex.llm.packing import STEP_TOKENS, pack, pack_documents, steps
+from loomdex.llm.packing import STEP_TOKENS, pack, pack_documents, pack_pieces, steps
 from loomdex.llm.packing import WINDOWS as TIERS
 from loomdex.llm.queries import op7_hierarchical_packing
 from loomdex.llm.tokens import VOCABULARY, encoding
@@ -116,3 +116,16 @@ def test_table_cases(spark):
             pack_documents(docs, bad)
     with pytest.raises(ValueError):
         pack_documents(docs, WINDOWS, step_tokens=100)
+
+
+def test_pieces_of_one_document(spark):
+    """Pieces of a document, drawn again and of equal length among them, are told apart by what is packed."""
+    texts = ["first part, long enough to be cut é", "second part, and as long as the 1st", "second part, and as long as the 1st", "end"]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, None), (3, "")], "doc_id bigint, text string")
+    rows = pack_pieces(docs, (16,), 16).collect()
+    found = defaultdict(list)
+    for r in rows:
+        found[r["piece"]].append((r["start"], bytes(r["bytes"])))
+    assert sorted(b"".join(b for _, b in sorted(set(p))).decode() for p in found.values()) == sorted(set(texts))
+    assert sum(r["n_tokens"] for r in rows) == sum(len(t.encode()) + 1 for t in texts)
+    assert len({(r["pack_group"], r["window"], r["offset"]) for r in rows}) == len(rows)

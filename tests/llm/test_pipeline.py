@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from test_mixing import model
@@ -102,6 +103,19 @@ def test_packing(outputs):
     assert got == want and all(n <= size for (_, _, size), n in places.items())
 
 
+def test_windows_hold_the_pieces(outputs):
+    """From the rows alone the pieces are put together again, with how often each was drawn."""
+    want = Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest(), r["text"]) for r in outputs[4].collect())
+    found = defaultdict(Counter)
+    for r in outputs[5].collect():
+        found[r["doc_id"], r["piece"]][r["start"], bytes(r["bytes"])] += 1
+    got = Counter()
+    for (doc_id, piece), parts in found.items():
+        (times,) = set(parts.values())
+        got[doc_id, piece, b"".join(b for _, b in sorted(parts)).decode()] += times
+    assert got == want
+
+
 def test_run(spark, sf, outputs):
     assert _rows(corpus_pipeline.run(spark, sf)) == _rows(outputs[5])
 
