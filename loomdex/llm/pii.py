@@ -65,6 +65,11 @@ def _digits(text: str) -> str:
 
 
 _AT = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_RUN = re.compile(r"(?<![\w-])(?<!\d\.)[0-9](?:[ -]?[0-9]){12,18}(?![\w-])(?!\.\d)")
+_CHAIN = re.compile(r"(?<![0-9])(?<![0-9][ -])(?=(?:[ -]?[0-9]){13})[0-9]+(?:[ -][0-9]+)*")
+_GROUP = re.compile(r"[0-9]+")
+_BEFORE, _AFTER = re.compile(r"(?<![\w-])(?<!\d\.)"), re.compile(r"(?![\w-])(?!\.\d)")
+_ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[0689]\d{12}|35\d{14}|6\d{15,18}")  # prefixes and lengths of the large issuers
 _LOCAL = re.compile(r"[\w%+-](?:[\w.%+-]{0,62}[\w%+-])?\Z")
 _IBAN = re.compile(r"(?<![^\W_])[A-Z]{2}[0-9]{2}(?=[ A-Z0-9])")
 
@@ -90,6 +95,40 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), end
 
 
+def _cards(text: str) -> Iterator[tuple[int, int]]:
+    """The runs of 13 to 19 digits, with single spaces or dashes among them, that pass the Luhn check. Other numbers may
+    stand beside a card (its security code, its date), so every part of a longer run is tried that begins and ends at
+    a separator and is written in groups of three digits or more, as cards are: any part of a line of short
+    numbers would pass too easily. Of overlapping ones, that of a large issuer, the longest, the first is taken."""
+    runs = {m.start(): m.end() for m in _RUN.finditer(text)}
+    for chain in _CHAIN.finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, *chain.span())]
+        last = {end: j for j, (_, end) in enumerate(groups)}
+        tried = set()
+        for i, (start, _) in enumerate(groups):
+            if start in runs:
+                tried.add((i, last[runs[start]]))
+            if i or _BEFORE.match(text, start):
+                n = 0
+                for j in range(i, len(groups)):
+                    size = groups[j][1] - groups[j][0]
+                    n += size
+                    if n > 19 or size < 3:
+                        break
+                    if n >= 13 and (j + 1 < len(groups) or _AFTER.match(text, groups[j][1])):
+                        tried.add((i, j))
+        passed = []
+        for i, j in tried:
+            digits = _digits(text[groups[i][0] : groups[j][1]])
+            if luhn(digits):
+                passed.append((not _ISSUED.fullmatch(digits), -len(digits), i, j))
+        taken: set[int] = set()
+        for _, _, i, j in sorted(passed):
+            if taken.isdisjoint(range(i, j + 1)):
+                taken.update(range(i, j + 1))
+                yield groups[i][0], groups[j][1]
+
+
 def _matches(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
     compiled = re.compile(pattern)
     return lambda text: (m.span() for m in compiled.finditer(text))
@@ -107,7 +146,7 @@ class Kind:
 
 KINDS = (
     Kind("email", _emails, lambda s: ".." not in s, 0.8, r"e-?mail|mail|contact|write|correo|courriel|kontakt"),
-    Kind("card", _matches(r"(?<![\w-])(?<!\d\.)[0-9](?:[ -]?[0-9]){12,18}(?![\w-])(?!\.\d)"), lambda s: luhn(_digits(s)), 0.7, r"card|credit|debit|visa|mastercard|amex|tarjeta|carte|karte|kreditkarte"),
+    Kind("card", _cards, lambda s: luhn(_digits(s)), 0.7, r"card|credit|debit|visa|mastercard|amex|tarjeta|carte|karte|kreditkarte"),
     Kind("iban", _ibans, lambda s: mod97(s.replace(" ", "")), 0.8, r"iban|bank|account|konto|cuenta|compte"),
     Kind("ipv4", _matches(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w)(?!\.\d)"), _octets, 0.6, r"ip|address|host|server|adresse|direcci[oó]n"),
     Kind("phone", _matches(r"(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4})(?![\w-])(?!\.\d)"), lambda s: 8 <= len(_digits(s)) <= 15, 0.6, r"phone|tel|call|mobile|fax|tel[eé]fono|t[eé]l[eé]phone|telefon"),

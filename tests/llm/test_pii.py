@@ -9,6 +9,13 @@ from loomdex.llm.pii import IBAN_LENGTHS, find_pii, luhn, mod97, pii_report, red
 FOUND = [
     ("write to jane.doe+x@mail.example.org today", "email", "jane.doe+x@mail.example.org"),
     ("card 4111 1111 1111 1111 expires", "card", "4111 1111 1111 1111"),
+    ("card 4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"),
+    ("card 4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"),
+    ("card 4111-1111-1111-1111-123", "card", "4111-1111-1111-1111"),
+    ("card 4111 1111 1111 1111 12/27 123", "card", "4111 1111 1111 1111"),
+    ("items 3 4111111111111111 and", "card", "4111111111111111"),
+    ("amex 3782 822463 10005 1234", "card", "3782 822463 10005"),
+    ("12 4111 1111 1111 1111 5", "card", "4111 1111 1111 1111"),
     ("konto DE89 3704 0044 0532 0130 00, danke", "iban", "DE89 3704 0044 0532 0130 00"),
     ("host 192.168.10.254 is down", "ipv4", "192.168.10.254"),
     ("call +1 415 555 0132 now", "phone", "+1 415 555 0132"),
@@ -35,6 +42,13 @@ def test_left_alone(text):
     assert find_pii(text) == [] and redact(text) == text
 
 
+def test_cards_beside_one_another():
+    text = "cards 4111 1111 1111 1111 123 5500 0000 0000 0004 99 4012888888881881 7"
+    assert redact(text) == "cards <CARD> 123 <CARD> 99 <CARD> 7"
+    assert find_pii("rows 10 20 30 40 50 60 70 80 90 11 21 31 41 51 61 71 81 91 12 22") == []
+    assert find_pii("no 4111111111111111a, a4111111111111111, 4111111111111111.5, 4111111111111111-x") == []
+
+
 def _luhn_by_table(s):
     twice = {str(d): sum(map(int, str(2 * d))) for d in range(10)}
     return sum(twice[c] if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
