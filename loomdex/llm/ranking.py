@@ -7,8 +7,9 @@ quality that is not toxic is preferred to every other labelled one. The corpus i
 quantile: the LOSS quantile of the preferred documents that the model was not fitted on, or, if a
 quantile is given, that of all documents.
 
-Features: which of the vocabulary's words occur (those that MIN_DOCS or more of the training documents
-have) and a few figures of style. The model is fitted on at most MAX_LABELLED labelled documents (those with the
+Features: which words of the training documents occur, however rare, and a few figures of style. A word's feature is
+the smaller, and so its weight shrinks the more, the less its share of preferred documents tells it from chance: no word
+is left out for being rare, as those of a small language all are. The model is fitted on at most MAX_LABELLED labelled documents (those with the
 least hash of their id), and on at most three quarters of them; scores and quantiles are of all documents.
 """
 
@@ -29,9 +30,9 @@ from loomdex.llm.common import materialize, quoted, text_batches
 MAX_LABELLED = 8000
 LOSS = 0.01  # share of the preferred documents that falls below the threshold
 PAIRS = 60_000
-MIN_DOCS = 8
 MAX_SHARE = 0.1  # of the training documents; commoner words only tell how long a text is
-SIGMAS = 4.0  # by which a word's share of preferred documents differs from that of all
+SIGMAS = 3.5  # by which a word's share of preferred documents differs from that of all where it counts in full
+SHRINK = 12  # a word at half as many sigmas is a feature of 2**-SHRINK
 ROUNDS = 400
 RATE = 0.05
 DECAY = 1e-4
@@ -87,9 +88,11 @@ def fit(words: pa.ListArray, figures: np.ndarray, good: np.ndarray, pairs: int =
     doc = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
     n = np.bincount(index, minlength=len(coded.dictionary))
     liked = np.bincount(index[good[doc]], minlength=len(coded.dictionary))
-    # words of preferred and of other documents alike say nothing: keep those whose shares differ
     p = good.mean() if len(good) else 0.0
-    often = (n >= MIN_DOCS) & (n <= MAX_SHARE * len(words)) & (np.abs(liked - n * p) >= SIGMAS * np.sqrt(np.maximum(n * p * (1 - p), 1e-9)))
+    apart = np.abs(liked - n * p)
+    # words that preferred and other documents have in the very same share say nothing
+    often = (n <= MAX_SHARE * len(words)) & (apart > 1e-9 * n)
+    size = np.minimum(1.0, apart / np.sqrt(np.maximum(n * p * (1 - p), 1e-9)) / SIGMAS)[often] ** SHRINK
     number = np.cumsum(often) - 1
     use = often[index]
     index, doc = number[index[use]], doc[use]
@@ -103,15 +106,15 @@ def fit(words: pa.ListArray, figures: np.ndarray, good: np.ndarray, pairs: int =
         a, b = rng.choice(yes, pairs), rng.choice(no, pairs)
         moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
         for t in range(1, rounds + 1):
-            score = np.bincount(doc, weights=w[index], minlength=len(words)) + x @ v
+            score = np.bincount(doc, weights=(w * size)[index], minlength=len(words)) + x @ v
             push = 1 / (1 + np.exp(np.clip(score[a] - score[b], -40, 40))) / pairs
             by_doc = np.bincount(a, push, len(words)) - np.bincount(b, push, len(words))
-            for theta, grad, m, s in ((w, np.bincount(index, weights=by_doc[doc], minlength=len(w)), moments[0], moments[1]), (v, by_doc @ x, moments[2], moments[3])):
+            for theta, grad, m, s in ((w, size * np.bincount(index, weights=by_doc[doc], minlength=len(w)), moments[0], moments[1]), (v, by_doc @ x, moments[2], moments[3])):
                 grad = grad - DECAY * theta
                 m += 0.1 * (grad - m)
                 s += 0.01 * (grad * grad - s)
                 theta += RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
-    return Model(dict(zip(vocabulary, w.tolist())), mean, scale, v)
+    return Model(dict(zip(vocabulary, (w * size).tolist())), mean, scale, v)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,14 @@ def test_gradient_is_that_of_the_logistic_loss():
     assert model.score("good") > model.score("bad")
 
 
+def test_words_of_a_small_language_count():
+    """A word that only five training documents have, all bad, lowers the score; one seen once hardly does."""
+    words = [["dull"] * (i % 9 == 0) + [f"w{i}"] for i in range(300)] + [["vile", f"x{i}"] for i in range(5)] + [["rude", f"y{i}"] for i in range(95)]
+    flags = np.array([True] * 300 + [False] * 100)
+    model = fit(pa.array(words, pa.list_(pa.string())), np.zeros((400, 8)), flags, pairs=4000, rounds=200)
+    assert model.score("vile") < -1 and abs(model.score("w1")) < 0.1 * abs(model.score("vile"))
+
+
 def test_without_pairs_all_scores_are_zero():
     model = fit(pa.array([["a"]] * 3, pa.list_(pa.string())), np.zeros((3, 8)), np.array([True] * 3))
     assert model.score("anything at all") == 0.0
