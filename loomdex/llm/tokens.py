@@ -1,222 +1,83 @@
 """Token counts without token ids, and token ids packed to the vocabulary's width.
 
 The vocabulary is a file of ranks (base64 token, rank) read with the byte-level pre-token pattern; its
-path is a parameter.
+path is a parameter. Texts are encoded where they lie: nothing here is shuffled.
 """
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
-import tiktoken
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import BATCH_BYTES, quoted, text_batches
-from loomdex.llm.shingles import slices, string_buffers
+from loomdex.llm.common import quoted, text_batches
+from loomdex.llm.pretokens import VOCABULARY, encoding, piece_counts, text_ids
+from loomdex.llm.shingles import string_buffers
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-DOC_BLOCK = 1024  # neighbouring doc_ids whose partial counts travel in one row
 ID_BLOCK = 4096  # ids between two offsets of a packed document
-_TEXT = 2 * BATCH_BYTES  # bytes of text that are counted together: a whole batch, unless it has a longer text
-HOT = 64  # documents of such a run from which a pre-token's postings are spread over all tasks
 
-_ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
-
-def encoding(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a file that every executor sees (or that was added with addFile), read once a process."""
-    if path not in _ENCODINGS:
-        try:
-            lines = open(path, "rb").read()
-        except FileNotFoundError:
-            lines = open(SparkFiles.get(path.rpartition("/")[2]), "rb").read()
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
-        _ENCODINGS[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
-
-
-# --- variable-length integers, many at a time
-
-
-def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, number of bytes of each value) of non-negative integers, 7 bits a byte, low bits first."""
-    v = values.astype(np.uint64)
-    sizes = np.ones(len(v), np.int64)
-    for k in range(1, 10):
-        sizes += v >= np.uint64(1 << (7 * k))
-    out = np.zeros(int(sizes.sum()), np.uint8)
-    at = np.cumsum(sizes) - sizes
-    for k in range(int(sizes.max(initial=0))):
-        live = sizes > k
-        more = (sizes[live] > k + 1).astype(np.uint8) << 7
-        out[at[live] + k] = ((v[live] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
-    return out, sizes
+# --- counts
 
 
-def unvarints(data: np.ndarray) -> np.ndarray:
-    """The integers of varints' bytes."""
-    if not len(data):
-        return np.zeros(0, np.int64)
-    end = np.flatnonzero(data < 128)
-    start = np.concatenate([[0], end[:-1] + 1])
-    place = np.arange(len(data)) - np.repeat(start, end - start + 1)
-    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * place).astype(np.uint64), start).astype(np.int64)
-
-
-def _zigzag(v: np.ndarray) -> np.ndarray:
-    return (v << 1) ^ (v >> 63)
-
-
-def _unzigzag(v: np.ndarray) -> np.ndarray:
-    return (v >> 1) ^ -(v & 1)
-
-
-def encode_groups(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """A binary column: the (rows, 2) values from each start on, as varints of zigzag differences of the
-    first column and of the second column as it is."""
-    first = np.diff(values[:, 0], prepend=0)
-    first[starts] = values[starts, 0]
-    pairs = np.stack([_zigzag(first), values[:, 1]], 1).reshape(-1)
-    data, sizes = varints(pairs)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    offsets = np.append(ends[2 * starts], len(data)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
-def decode_groups(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, first, second) of every pair that encode_groups put into the rows of a binary column."""
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    values = unvarints(raw).reshape(-1, 2)
-    if not len(values):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty
-    ends = np.flatnonzero(raw < 128)[1::2] + 1
-    n = np.diff(np.searchsorted(ends, at - at[0], side="right"))
-    group = np.repeat(np.arange(len(column)), n)
-    delta = _unzigzag(values[:, 0])
-    sums = np.cumsum(delta)
-    first = np.cumsum(n) - n
-    full = n > 0
-    base = np.zeros(len(n), np.int64)
-    base[full] = sums[first[full]] - delta[first[full]]
-    return group, sums - base[group], values[:, 1]
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens): the number of ids that the vocabulary's encoding of each text would have.
 
+    The pieces of each distinct pre-token are counted once (by each process, for as long as it remembers
+    the pre-token), joined to the pre-tokens that each text has and how often, and added up. No id is kept,
+    and no row leaves its task.
 
-# --- counts
+    Null and empty texts have 0 tokens. A text of any length is one row's work, in about 30 bytes of memory
+    for each of its own. Every row of docs gives one row, repeated and null doc_ids too, so an empty table
+    gives an empty one. Columns other than doc_id and text are not read.
+    """
+    text_batches(docs.sparkSession)
 
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(piece_counts(vocabulary, *string_buffers(texts)), pa.int64())
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, spread, postings) of the pre-tokens of each run of texts: postings holds (doc_id, times).
-    The empty pre-token, which no text has, has every document once. spread is 0, but differs by run for
-    a pre-token that many documents have, as its postings would be too much for one task."""
-    find = regex.compile(PATTERN).findall
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        offsets, _ = string_buffers(texts)
-        for a, b in slices(offsets, _TEXT):
-            number: dict[str, int] = {"": 0}
-            found, sizes = [], []
-            for t in texts.slice(a, b - a).to_pylist():
-                parts = find(t) if t else []
-                found += parts
-                sizes.append(len(parts))
-            for t in found:
-                if t not in number:
-                    number[t] = len(number)
-            token = np.concatenate([np.zeros(b - a, np.int64), np.fromiter(map(number.__getitem__, found), np.int64, len(found))])
-            doc = np.concatenate([np.arange(b - a), np.repeat(np.arange(b - a), sizes)])
-            order = np.argsort(ids[a:b], kind="stable")
-            place = np.empty(b - a, np.int64)
-            place[order] = np.arange(b - a)
-            key, times = np.unique(token * (b - a) + place[doc], return_counts=True)
-            token, doc = key // (b - a), ids[a:b][order][key % (b - a)]
-            starts = np.flatnonzero(np.diff(token, prepend=-1))
-            postings = encode_groups(np.stack([doc, times], 1), starts)
-            hot = np.diff(np.append(starts, len(token))) >= HOT
-            spread = np.where(hot, 1 + np.abs(ids[a] % (1 << 40)), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), pa.array(spread), postings], ["token", "spread", "postings"])
-
-
-def _partial_counts(path: str):
-    """Counts the pieces of each distinct pre-token of a partition once, and adds them up by document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
-        pieces: dict[str, int] = {"": 0}
-        docs, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for batch in batches:
-            tokens = batch.column("token").to_pylist()
-            for t in tokens:
-                if t not in pieces:
-                    pieces[t] = len(encode(t))
-            per = np.fromiter(map(pieces.__getitem__, tokens), np.int64, len(tokens))
-            group, doc, times = decode_groups(batch.column("postings"))
-            pending.append((doc, times * per[group]))
-            held += len(doc)
-            if held > 2_000_000:
-                docs, sums = _added([(docs, sums), *pending])
-                pending, held = [], 0
-        docs, sums = _added([(docs, sums), *pending])
-        if len(docs):
-            block = docs // DOC_BLOCK
-            starts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), encode_groups(np.stack([docs, sums], 1), starts)], ["block", "partial"])
+    return docs.select("doc_id", F.arrow_udf(run, "bigint")(quoted("text")).alias("n_tokens"))
 
-    return run
 
+# --- ids of fixed width
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    docs, sums = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(docs, kind="stable")
-    docs, sums = docs[order], sums[order]
-    starts = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1)) if len(docs) else np.zeros(0, np.int64)
-    return docs[starts], np.add.reduceat(sums, starts) if len(docs) else sums
 
+def id_bytes(vocabulary: str = VOCABULARY) -> int:
+    """Bytes of an id in token_ids' column: the fewest of 2 and 4 that also hold one id more, which ends a text."""
+    return 2 if encoding(vocabulary).n_vocab < 1 << 16 else 4
 
-def _whole_counts(partials: pa.Table) -> pa.Table:
-    parts = [decode_groups(c)[1:] for c in partials.column("partial").chunks if len(c)]
-    docs, sums = _added(parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.table({"doc_id": docs, "n_tokens": sums})
 
+def end_id(vocabulary: str = VOCABULARY) -> int:
+    """The id that ends a text: the first that the vocabulary leaves free."""
+    return encoding(vocabulary).n_vocab
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens): the number of ids that the vocabulary's encoding of each text would have.
-
-    Pre-tokens and how often each document has them are gathered by run of texts; each distinct
-    pre-token goes to one task, which counts its pieces once, and its count is joined to all of its
-    frequencies there (the few that most documents have go to many tasks). Partial sums then meet by block of doc_ids. No id is ever kept.
 
-    Null and empty texts have 0 tokens. Rows that repeat a doc_id are added up; rows with a null doc_id
-    are left out. Other columns are not read.
-    """
-    text_batches(docs.sparkSession)
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), quoted("text").alias("text"))
-    frequencies = rows.mapInArrow(_frequencies, "token string, spread bigint, postings binary")
-    partial = frequencies.repartition("token", "spread").mapInArrow(_partial_counts(vocabulary), "block bigint, partial binary")
-    return partial.groupBy("block").applyInArrow(_whole_counts, "doc_id bigint, n_tokens bigint")
+def ids_array(texts: pa.Array, vocabulary: str = VOCABULARY, end: bool = False) -> pa.Array:
+    """The ids of each text as bytes, id_bytes each, low byte first; end: and the id that ends it, unless the text is
+    null or empty."""
+    width = id_bytes(vocabulary)
+    runs = list(text_ids(vocabulary, *string_buffers(texts)))
+    ids = np.concatenate([np.zeros(0, np.uint32), *(i for i, _ in runs)])
+    n = np.concatenate([np.zeros(0, np.int64), *(k for _, k in runs)])
+    if end:
+        ids = np.insert(ids, np.cumsum(n)[n > 0], end_id(vocabulary))
+        n += n > 0
+    offsets = np.concatenate([[0], np.cumsum(n) * width])
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("a batch of texts has too many ids")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))])
 
 
-def text_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Number of ids that the vocabulary's encoding of a text has, counted row by row without moving texts, and
-    one that ends the document; 0 for a null or empty text."""
+def token_ids(text: Column, vocabulary: str = VOCABULARY, end: bool = False) -> Column:
+    """ids_array of a text column."""
 
     def run(texts: pa.Array) -> pa.Array:
-        encode = encoding(vocabulary).encode_ordinary
-        return pa.array([len(encode(s)) + 1 if (s := t.as_py()) else 0 for t in texts], pa.int64())
+        return ids_array(texts, vocabulary, end)
 
-    return F.arrow_udf(run, "bigint")(text)
+    return F.arrow_udf(run, "binary")(text)
 
 
 # --- packed ids
@@ -265,15 +126,11 @@ def read_ids(data: bytes, offsets: list[int], bits: int, n: int, lo: int, hi: in
 
 def _packed(path: str, block: int):
     def run(texts: pa.Array) -> pa.Array:
-        enc = encoding(path)
-        bits = id_bits(enc.n_vocab)
-        rows = []
-        for t in texts:
-            ids = np.array(enc.encode_ordinary(t.as_py() or ""), np.int64)
-            data, offsets = pack_blocks(ids, bits, block)
-            rows.append((len(ids), bits, offsets, data))
-        n, b, o, d = zip(*rows) if rows else ((), (), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(b, pa.int32()), pa.array(o, pa.list_(pa.int64())), pa.array(d, pa.binary())], ["n_tokens", "bits", "offsets", "packed"])
+        bits, rows = id_bits(encoding(path).n_vocab), []
+        for ids, counts in text_ids(path, *string_buffers(texts)):
+            rows += [(*pack_blocks(x, bits, block), len(x)) for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+        data, offsets, sizes = zip(*rows) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array([bits] * len(rows), pa.int32()), pa.array(offsets, pa.list_(pa.int64())), pa.array(data, pa.binary())], ["n_tokens", "bits", "offsets", "packed"])
 
     return run
 
@@ -282,8 +139,9 @@ def packed_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = ID
     """(doc_id, n_tokens, bits, offsets, packed): the ids of each text in `bits` bits each, the fewest
     that hold the vocabulary; offsets has the byte at which every `block` ids start, and the end.
 
-    read_ids unpacks any range. Null and empty texts have no ids and offsets [0]. Every row of docs
-    gives one row, repeated or null doc_ids too. Other columns are not read.
+    read_ids unpacks any range. Null and empty texts have no ids and offsets [0]. A very long text is one
+    row; it may have no more than 2**31 packed bytes. Every row of docs gives one row, repeated or null
+    doc_ids too, so an empty table gives an empty one. Columns other than doc_id and text are not read.
     """
     text_batches(docs.sparkSession)
     packed = F.arrow_udf(_packed(vocabulary, block), "struct<n_tokens:bigint,bits:int,offsets:array<bigint>,packed:binary>")(quoted("text"))
