@@ -1,69 +1,41 @@
-"""Mixing sources to target weights, by blocks.
+"""Mixing sources to target weights, by blocks of token ids.
 
-The tokens of each source, its documents one after another in a pseudorandom order, are cut into
-blocks of BLOCK tokens. Each output shard of SLOTS slots draws how many come from each source
-(multinomial, by the target weights) and shuffles them over its slots. The k-th slot of a source in
+The texts are encoded once, where they lie. The tokens of each source, its documents one after another as they
+are stored, are cut into blocks of BLOCK ids. Each output shard of SLOTS slots draws how many come from each
+source (multinomial, by the target weights) and shuffles them over its slots. The k-th slot of a source in
 the whole output takes block permutation(k mod n) of its n blocks; each pass over a source has another
 permutation, a Feistel network, so no list of blocks is ever shuffled. Slots and blocks are joined by
-(source, block), and the texts are brought in last, each once.
+(source, block); the ids move once, to their block, whatever source or document they are of.
 
-A token here is a white-space word with the white space around it, so blocks are cut from the text
-itself and a document's pieces add up to it.
+Where a document lies in its source is a running count: within a task as it reads, and over tasks by a table
+with a row for each task and source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Tuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, one_row_per_id, quoted, text_batches
-from loomdex.llm.shingles import U64, mix64, slices, string_buffers
+from loomdex.llm.common import materialize, quoted, small_side, text_batches
+from loomdex.llm.pretokens import VOCABULARY, decoded
+from loomdex.llm.shingles import U64, mix64
+from loomdex.llm.tokens import id_bytes, ids_array
 
 BLOCK = 2048  # tokens
 SLOTS = 512  # blocks in an output shard
 TEMPERATURE = 0.7  # default target weights: token counts to this power
 SEED = 1234
-CHUNK_DOCS = 50_000  # documents of a source whose running token count one task keeps
 TASK_SHARDS = 64  # output shards that one task draws
 CHUNK_SHARDS = 4096  # output shards whose running slot counts one task keeps
-
-
-def word_starts(data: np.ndarray) -> np.ndarray:
-    """Byte offsets at which the tokens of one text start; the first is 0 if there is any word."""
-    inside = data > 32
-    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
-    if len(data) and inside[0]:
-        starts = np.concatenate([[0], starts])
-    if len(starts):
-        starts[0] = 0
-    return starts
-
-
-def token_counts(text: Column) -> Column:
-    """Number of tokens of a text column; 0 for a null text."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        offsets, data = string_buffers(texts)
-        counts = np.zeros(len(texts), np.int64)
-        for a, b in slices(offsets, 1 << 20):
-            lo, hi = int(offsets[a]), int(offsets[b])
-            inside = np.zeros(hi - lo + 1, bool)
-            inside[1:] = data[lo:hi] > 32
-            start = inside[1:] & ~inside[:-1]
-            full = np.flatnonzero(np.diff(offsets[a : b + 1]) > 0) + a
-            at = offsets[full] - lo
-            start[at] = inside[1:][at]  # a document's first byte follows no space of its own
-            if len(full):
-                counts[full] = np.add.reduceat(start, at, dtype=np.int64)
-        return pa.array(counts)
-
-    return F.arrow_udf(run, "bigint")(text)
+PASSES = 16  # passes over a source whose slots meet a copy of its blocks; a source that is repeated more has more copies
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -86,17 +58,38 @@ def _name(docs: DataFrame) -> Column:
     return F.coalesce(quoted("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
 
 
-def positions(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, name, first, n): each document's source and the tokens it takes in its source's order;
-    written. Running counts are kept by chunks of a source, so a hot source is many tasks."""
-    counted = materialize(docs.select("doc_id", _name(docs).alias("name"), token_counts(quoted("text")).alias("n")).where("n > 0"), "tokens")
-    chunks = counted.groupBy("name").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).alias("chunks"))
-    placed = counted.withColumn("at", F.xxhash64("doc_id", F.lit(seed))).join(chunks, "name").withColumn("chunk", F.pmod("at", F.col("chunks"))).drop("chunks")
-    w = W.partitionBy("name", "chunk").orderBy("at", "doc_id")
-    totals = placed.groupBy("name", "chunk").agg(F.sum("n").alias("total"))
-    before = totals.withColumn("before", F.sum("total").over(W.partitionBy("name").orderBy("chunk")) - F.col("total")).drop("total")
-    placed = placed.withColumn("inner", F.sum("n").over(w) - F.col("n"))
-    return materialize(placed.join(before, ["name", "chunk"]).select("doc_id", "name", (F.col("before") + F.col("inner")).alias("first"), "n"), "positions")
+def _placed(vocabulary: str):
+    """Encodes texts, and counts on for each source over the batches of a task."""
+
+    def run(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        width, reached = id_bytes(vocabulary), {}
+        part = TaskContext.get().partitionId()
+        for names, texts in batches:
+            ids = ids_array(texts, vocabulary)
+            n = np.diff(np.frombuffer(ids.buffers()[1], np.int32)) // width
+            first = np.zeros(len(n), np.int64)
+            coded = names.dictionary_encode()
+            of = coded.indices.to_numpy(zero_copy_only=False)
+            for k, name in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(of == k)
+                upto = np.cumsum(n[own]) + reached.get(name, 0)
+                first[own] = upto - n[own]
+                reached[name] = int(upto[-1])
+            yield pa.StructArray.from_arrays([ids, pa.array(n, pa.int64()), pa.array(first), pa.array([part] * len(n), pa.int32())], ["ids", "n", "first", "part"])
+
+    return run
+
+
+def positions(docs: DataFrame, carried: Column, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """(rows of carried, name, ids, n, first for each row of docs with tokens; name, total for each source): `first` is
+    where its tokens begin in its source's. The rows are written; no text moves."""
+    t = F.arrow_udf(_placed(vocabulary), "struct<ids:binary,n:bigint,first:bigint,part:int>")(_name(docs), quoted("text"))
+    placed = materialize(docs.select(carried.alias("carried"), _name(docs).alias("name"), t.alias("t")).select("carried", "name", "t.*"), "ids").where("n > 0")
+    tasks = placed.groupBy("name", "part").agg(F.max(F.col("first") + F.col("n")).alias("upto"))
+    tasks = materialize(tasks, "tasks")  # a row a task and source
+    before = tasks.select("name", "part", (F.sum("upto").over(W.partitionBy("name").orderBy("part")) - F.col("upto")).alias("before"))
+    where = placed.join(small_side(materialize(before, "before")), ["name", "part"])
+    return where.select("carried", "name", "ids", "n", (F.col("before") + F.col("first")).alias("first")), tasks.groupBy("name").agg(F.sum("upto").alias("total"))
 
 
 def target_weights(totals: dict[str, int], weights: dict[str, float] | None) -> dict[str, float]:
@@ -113,12 +106,11 @@ def target_weights(totals: dict[str, int], weights: dict[str, float] | None) ->
     return {s: w / whole for s, w in raw.items()}
 
 
-def slot_plan(where: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """(shard, slot, name, pass, block) for every slot of the output, which has as many slots as the
-    sources have blocks. where: what positions() gives."""
-    spark = where.sparkSession
-    totals = {r["name"]: int(r["t"]) for r in where.groupBy("name").agg(F.sum("n").alias("t")).collect()}  # a row a source
+def slot_plan(totals: dict[str, int], spark, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, dict[str, int]]:
+    """((shard, slot, name, pass, block) for every slot of the output, which has as many slots as the sources of
+    totals, their numbers of tokens, have blocks; how often each source is passed over)."""
     names = sorted(totals)
+    number = {s: i for i, s in enumerate(names)}
     blocks = {s: -(-totals[s] // block) for s in names}
     n_slots = sum(blocks.values())
     p = target_weights(totals, weights)
@@ -139,82 +131,115 @@ def slot_plan(where: DataFrame, weights: dict[str, float] | None = None, block:
     drawn = shards.mapInPandas(draw, "shard bigint, name string, count bigint, at array<int>")
     counts = shards.mapInPandas(lambda batches: (b[["shard", "name", "count"]] for b in draw(batches)), "shard bigint, name string, count bigint")
     counts = counts.withColumn("chunk", F.floor(F.col("shard") / CHUNK_SHARDS))
-    chunks = counts.groupBy("name", "chunk").agg(F.sum("count").alias("whole"))
+    chunks = materialize(counts.groupBy("name", "chunk").agg(F.sum("count").alias("whole")), "chunks")
+    passes = {r["name"]: -(-r["n"] // blocks[r["name"]]) for r in chunks.groupBy("name").agg(F.sum("whole").alias("n")).collect()}  # a row a source
     chunks = chunks.select("name", "chunk", (F.sum("whole").over(W.partitionBy("name").orderBy("chunk")) - F.col("whole")).alias("passed"))
     inner = F.sum("count").over(W.partitionBy("name", "chunk").orderBy("shard")) - F.col("count")
     before = counts.withColumn("inner", inner).join(chunks, ["name", "chunk"]).select("shard", "name", (F.col("passed") + F.col("inner")).alias("before"))
     rows = drawn.join(before, ["shard", "name"]).select("shard", "name", "before", F.posexplode("at").alias("i", "slot"))
 
     def look_up(name: pa.Array, k: pa.Array) -> pa.Array:
-        name, k = np.array(name.to_pylist(), object), k.to_numpy(zero_copy_only=False)
+        name, k = name.to_pylist(), k.to_numpy(zero_copy_only=False)
         n = np.array([blocks[s] for s in name], np.int64)
-        source = np.array([names.index(s) for s in dict.fromkeys(name)], np.int64)
-        number = dict(zip(dict.fromkeys(name), source.tolist()))
         turn = k // np.maximum(n, 1)
         key = np.array([number[s] for s in name], np.int64) * 1_000_003 + turn * 7919 + seed
         at = permute(k - turn * n, n, key)
         return pa.StructArray.from_arrays([pa.array(turn), pa.array(at)], ["pass", "block"])
 
     found = F.arrow_udf(look_up, "struct<pass:bigint,block:bigint>")(F.col("name"), F.col("before") + F.col("i"))
-    return rows.select("shard", "slot", "name", found.alias("b")).select("shard", "slot", "name", "b.pass", "b.block")
+    return rows.select("shard", "slot", "name", found.alias("b")).select("shard", "slot", "name", "b.pass", "b.block"), passes
 
 
-def pieces(where: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, name, block, lo, hi, at): tokens lo to hi of a document are in a block, from its token `at` on."""
+def pieces(where: DataFrame, block: int = BLOCK, width: int = 2) -> DataFrame:
+    """(carried, name, block, at, inner, part, tail): of positions' rows, the ids of each document that lie in
+    each block, from its token `at` on; inner: the piece does not begin its document; tail: the three ids after it."""
     first, last = F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n") - 1) / block)
-    rows = where.select("doc_id", "name", "first", "n", F.explode(F.sequence(first, last)).alias("block"))
+    rows = where.select("*", F.explode(F.sequence(first, last)).alias("block"))
     start = F.col("block") * block
     lo = F.greatest(start - F.col("first"), F.lit(0).cast("bigint"))
     hi = F.least(start + block - F.col("first"), F.col("n"))
-    return rows.select("doc_id", "name", "block", lo.alias("lo"), hi.alias("hi"), (F.col("first") + lo - start).alias("at"))
+
+    def cut(a: Column, n: Column | int) -> Column:
+        return F.substring(F.col("ids"), (a * width + 1).cast("int"), (n * width).cast("int"))
+
+    return rows.select("carried", "name", "block", (F.col("first") + lo - start).alias("at"), (lo > 0).alias("inner"), cut(lo, hi - lo).alias("part"), cut(hi, F.lit(3)).alias("tail"))
 
 
-def _cut(text: pa.Array, asked: pa.Array) -> pa.Array:
-    out = []
-    for t, spans in zip(text.to_pylist(), asked.to_pylist()):
-        raw = t.encode("utf-8", "surrogatepass")
-        starts = np.append(word_starts(np.frombuffer(raw, np.uint8)), len(raw))
-        out.append([raw[starts[s["lo"]] : starts[s["hi"]]].decode("utf-8", "surrogatepass") for s in spans])
-    return pa.array(out, pa.list_(pa.string()))
+def _drawn(rows: DataFrame, plan: DataFrame, passes: dict[str, int]) -> DataFrame:
+    """rows(name, block, ...) joined to the slots of plan. A block's slots are of as many passes as its source has;
+    they are dealt to copies of it, so that a source that is repeated without end is many tasks' work."""
+    copies = rows.sparkSession.createDataFrame([(s, -(-n // PASSES)) for s, n in sorted(passes.items())], "name string, copies int")  # a row a source
+    salted = rows.join(small_side(copies), "name").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return salted.join(plan.withColumn("copy", F.floor(F.col("pass") / PASSES).cast("int")), ["name", "block", "copy"]).drop("copy")
 
 
-def mixed_pieces(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """docs' columns, and a struct `slot` of (shard, slot, pass, block, at): a row for each piece of a
-    document in each slot that its block was drawn for. text is the piece."""
+def _texts(vocabulary: str):
+    """The texts of pieces: a character that a block's border divides belongs to the piece that it begins in."""
+
+    def run(part: pa.Array, tail: pa.Array, inner: pa.Array) -> pa.Array:
+        width = id_bytes(vocabulary)
+
+        def parts(column: pa.Array) -> tuple[bytes, np.ndarray]:
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+            data, offsets = decoded(vocabulary, raw.view(f"<u{width}") if at[0] % width == 0 else np.frombuffer(raw.tobytes(), f"<u{width}"), np.diff(at) // width)
+            return data.tobytes(), offsets
+
+        (own, a), (after, b) = parts(part), parts(tail)
+        out = []
+        for i, within in enumerate(inner.to_pylist()):
+            lo, end = int(a[i]), int(a[i + 1])
+            while within and lo < end and own[lo] & 0xC0 == 0x80:
+                lo += 1
+            more, stop = int(b[i]), int(b[i + 1])
+            while more < stop and after[more] & 0xC0 == 0x80:
+                more += 1
+            out.append((own[lo:end] + after[int(b[i]) : more] if lo < end else b"").decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
+
+    return run
+
+
+def _planned(docs: DataFrame, carried: Column, weights, block: int, slots: int, seed: int, vocabulary: str):
     text_batches(docs.sparkSession)
-    docs = one_row_per_id(docs.where(F.col("doc_id").isNotNull()))
-    where = positions(docs, seed)
-    plan = slot_plan(where, weights, block, slots, seed)
-    asked = pieces(where, block).join(plan, ["name", "block"])
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "slot", "pass", "block", "at", "lo", "hi")).alias("asked"))
-    asked = materialize(asked, "asked").withColumnRenamed("doc_id", "asked_id")
-    own = F.struct(*[quoted(c) for c in docs.columns]).alias("own")  # so that no name of docs can clash
-    both = docs.select(own).join(asked, F.col("own.doc_id") == F.col("asked_id"))
-    cut = both.select("own", F.explode(F.arrays_zip("asked", F.arrow_udf(_cut, "array<string>")(F.col("own.text"), F.col("asked")).alias("cut"))).alias("z"))
-    columns = [F.col("z.cut").alias("text") if c == "text" else F.length("z.cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("own").getField(c).alias(c) for c in docs.columns]
-    return cut.select(F.struct("z.asked.shard", "z.asked.slot", "z.asked.pass", "z.asked.block", "z.asked.at").alias("slot"), F.struct(*columns).alias("piece"))
-
-
-def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
+    where, totals = positions(docs, carried, vocabulary)
+    totals = {r["name"]: int(r["total"]) for r in totals.collect()}  # a row a source
+    plan, passes = slot_plan(totals, docs.sparkSession, weights, block, slots, seed)
+    return pieces(where, block, id_bytes(vocabulary)), plan, passes
+
+
+def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
     """The mixture as rows with the columns of docs: a row for each piece of a document in a drawn
     block, its text (and n_chars) cut to the piece.
 
     A source that is weighted up repeats its blocks, one that is weighted down leaves some out; the
     output has as many blocks as the input. A null source counts as the source of the empty name. Rows
-    whose text is null or has no word hold no tokens and are left out, and so are rows with a null
-    doc_id; of rows that repeat a doc_id, one counts. An empty table gives an empty one.
+    whose text is null or empty hold no tokens and are left out; rows with a null doc_id, and each of rows
+    that repeat one another, are documents like any. A very long text is cut into its blocks by one task,
+    but each of them goes its own way. Where a block's border divides a character, the character goes to the
+    piece that it begins in (and a piece that is left with nothing is left out). Columns of any name are
+    passed on. An empty table gives an empty one.
     """
-    return mixed_pieces(docs, weights, block, slots, seed).select("piece.*")
-
-
-def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """(shard, slot, source, pass, block, n_tokens, doc_ids, text): the mixture, a row a slot. Pieces of
-    different documents are set apart by a line end. The last block of a source may have fewer tokens
-    than the rest. Cases as in mix_documents."""
-    rows = mixed_pieces(docs, weights, block, slots, seed)
-    source = F.coalesce(F.col("piece.source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    rows = rows.select("slot.*", source.alias("source"), "piece.doc_id", "piece.text")
-    parts = F.array_sort(F.collect_list(F.struct("at", "doc_id", "text")))
-    out = rows.groupBy("shard", "slot", "source", "pass", "block").agg(parts.alias("parts"))
-    text = F.array_join(F.col("parts.text"), "\n")
-    return out.select("shard", "slot", "source", "pass", "block", F.col("parts.doc_id").alias("doc_ids"), text.alias("text")).withColumn("n_tokens", token_counts(F.col("text")))
+    carried = F.struct(*[quoted(c) for c in docs.columns if c != "text"], F.lit(0).alias(_spare(docs)))
+    rows, plan, passes = _planned(docs, carried, weights, block, slots, seed, vocabulary)
+    drawn = _drawn(rows.select("carried", "name", "block", "inner", "part", "tail"), plan, passes)
+    rows = drawn.select("carried", F.arrow_udf(_texts(vocabulary), "string")(F.col("part"), F.col("tail"), F.col("inner")).alias("cut")).where("cut <> ''")
+    return rows.select(*[F.col("cut").alias("text") if c == "text" else F.length("cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("carried").getField(c).alias(c) for c in docs.columns])
+
+
+def _spare(docs: DataFrame) -> str:
+    """A field that keeps the struct of carried columns from being empty."""
+    return "spare" + "_" * max(len(c) for c in docs.columns)
+
+
+def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(shard, slot, source, pass, block, n_tokens, doc_ids, ids): the mixture, a row a slot. ids are the block's token
+    ids as bytes (see tokens.id_bytes), of the documents of doc_ids one after another. Every block has `block` ids, but
+    for the last of each source. Cases as in mix_documents, but nothing is cut at characters."""
+    width = id_bytes(vocabulary)
+    rows, plan, passes = _planned(docs, quoted("doc_id"), weights, block, slots, seed, vocabulary)
+    whole = rows.groupBy("name", "block").agg(F.sort_array(F.collect_list(F.struct("at", F.col("carried").alias("doc_id"), "part"))).alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda done, p: F.concat(done, p["part"]))
+    whole = whole.select("name", "block", F.col("parts.doc_id").alias("doc_ids"), ids.alias("ids"))
+    out = _drawn(whole, plan, passes)
+    return out.select("shard", "slot", F.col("name").alias("source"), "pass", "block", (F.octet_length("ids") / width).cast("int").alias("n_tokens"), "doc_ids", "ids")
