@@ -1,4 +1,4 @@
-"""Hierarchical packing of documents into context windows of several lengths.
+"""Hierarchical packing of documents' token ids into context windows of several lengths.
 
 A document goes to the shortest tier whose window holds it; one longer than the longest window is cut
 into whole windows and a rest. From the longest tier to the shortest, each document, longest first,
@@ -6,33 +6,29 @@ takes the smallest gap that holds it: among the windows of longer tiers, else am
 else it opens a window. The windows of each tier are then dealt to steps of equal token budget, so that
 the steps of a tier carry nearly the same number of real tokens.
 
-Only ids and lengths are moved. Documents are packed in groups of about GROUP_TOKENS, chosen by a hash of
-the id; each group is one task's work and the groups grow in number, not in size.
+The texts are encoded where they lie and the ids written; they move once, to the group of about GROUP_TOKENS that packs
+them. Rows go to groups by a hash of a number of their own, so that neither copies nor a document that is many
+rows make a group large: the groups grow in number, not in size.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, quoted
+from loomdex.llm.common import materialize, quoted, text_batches
+from loomdex.llm.pretokens import VOCABULARY
+from loomdex.llm.tokens import id_bytes, token_ids
 
 WINDOWS = (2048, 8192, 32768)  # tokens
 STEP_TOKENS = 1 << 19
-GROUP_TOKENS = 1 << 26
-SCHEMA = "doc_id bigint, start bigint, n_tokens int, window_tokens int, pack_group int, window int, offset int, step int"
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-
-
-def byte_tokens(text: Column) -> Column:
-    """Tokens of a byte-level vocabulary and one that ends the document; 0 for a null or empty text."""
-    n = F.octet_length(text)
-    return F.when(n > 0, n + 1).otherwise(0).cast("bigint")
+GROUP_TOKENS = 1 << 24
+SCHEMA = "pack_group int, window int, window_tokens int, step int, n_tokens int, pieces array<struct<doc_id:bigint,start:bigint,offset:int,n_tokens:int>>, ids binary"
 
 
 def pack(lengths: Sequence[int], windows: Sequence[int] = WINDOWS) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -81,64 +77,56 @@ def steps(sizes: np.ndarray, used: np.ndarray, step_tokens: int = STEP_TOKENS) -
     return out
 
 
-def _packed(windows: Sequence[int], step_tokens: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        by = ["n_tokens", "doc_id", *(["piece"] if "piece" in rows else []), "start"]
-        rows = rows.sort_values(by, ascending=[False] + [True] * (len(by) - 1), kind="stable", na_position="first", ignore_index=True)
-        at, offset, sizes = pack(rows["n_tokens"].to_numpy(), windows)
+def _packed(windows: Sequence[int], step_tokens: int, width: int):
+    def run(rows: pa.Table) -> pa.Table:
+        column = {c: rows[c].to_numpy() for c in ("key", "start", "pack_group")}
+        data = rows["ids"].combine_chunks()
+        data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        raw = np.frombuffer(data.buffers()[2], np.uint8)
+        n = np.diff(ends) // width
+        # longest first; a null doc_id comes last among equals
+        id_, none = rows["doc_id"].fill_null(0).to_numpy(), rows["doc_id"].is_null().to_numpy()
+        order = np.lexsort((column["start"], column["key"], id_, none, -n))
+        at, offset, sizes = pack(n[order], windows)
         sizes = np.array(sizes, np.int64)
-        used = np.bincount(at, weights=rows["n_tokens"], minlength=len(sizes)).astype(np.int64)
+        used = np.bincount(at, weights=n[order], minlength=len(sizes)).astype(np.int64)
         step = steps(sizes, used, step_tokens)
-        return rows.assign(window_tokens=sizes[at], window=at, offset=offset, step=step[at])[[*COLUMNS, *(["piece"] if "piece" in rows else [])]]
+        place = np.lexsort((offset, at))
+        own = order[place]  # the rows, window by window
+        count = np.bincount(at, minlength=len(sizes))
+        flat = np.concatenate([raw[ends[i] : ends[i + 1]] for i in own.tolist()])
+        pieces = pa.StructArray.from_arrays([rows["doc_id"].combine_chunks().take(pa.array(own)), pa.array(column["start"][own]), pa.array(offset[place].astype(np.int32)), pa.array(n[own].astype(np.int32))], ["doc_id", "start", "offset", "n_tokens"])
+        group = np.full(len(sizes), column["pack_group"][0], np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(used) * width]).astype(np.int32)), pa.py_buffer(flat)])
+        columns = [pa.array(group), pa.array(np.arange(len(sizes), dtype=np.int32)), pa.array(sizes.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(used.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pieces), ids]
+        return pa.table(columns, names=["pack_group", "window", "window_tokens", "step", "n_tokens", "pieces", "ids"])
 
     return run
 
 
-def pack_documents(docs: DataFrame, windows: Sequence[int] = WINDOWS, tokens: Column | None = None, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """(doc_id, start, n_tokens, window_tokens, pack_group, window, offset, step): a row for each piece of
-    each document: its tokens from start on lie at an offset of a window of a step. Windows and steps
-    are numbered within their pack_group.
-
-    tokens: the documents' token counts (byte_tokens of text, if not given). Documents without tokens,
-    null counts among them, have no row. Repeated rows, and rows with one or no doc_id, are packed each
-    by itself. Documents of equal length are ordered by doc_id. Other columns are not read.
-    """
-    _refuse(windows, step_tokens)
-    n = byte_tokens(quoted("text")) if tokens is None else tokens
-    return _place(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), n.cast("bigint").alias("n")), windows, step_tokens, group_tokens)
-
+def pack_documents(docs: DataFrame, windows: Sequence[int] = WINDOWS, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(pack_group, window, window_tokens, step, n_tokens, pieces, ids): a row for each window.
 
-def pack_pieces(docs: DataFrame, windows: Sequence[int] = WINDOWS, step_tokens: int = STEP_TOKENS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """pack_documents of rows that are pieces of documents, several of one doc_id among them, with what lies in the
-    windows: piece is the SHA-256 of the row's text, start counts from that text's beginning, and bytes are those
-    of the text (UTF-8) that lie at the offset. A token is a byte or the end of a piece, which bytes lack.
+    ids has the n_tokens token ids of the window as bytes (see tokens.id_bytes), the rest of window_tokens being
+    padding. Each text ends with the id tokens.end_id. pieces says what lies where: n_tokens of the row of doc_id, from
+    its token `start` on, at `offset` of the window. Windows and steps are numbered within their pack_group.
 
-    Rows of equal length are ordered by doc_id and piece. The texts are brought in last, by a join on piece, each once.
+    Rows whose text is null or empty have no tokens and are left out. Repeated rows, and rows with one or no
+    doc_id, are packed each by itself. Documents of equal length are ordered by doc_id. A very long text is cut at
+    whole windows, which are packed wherever. Columns other than doc_id and text are not read. An empty table
+    gives an empty one.
     """
-    _refuse(windows, step_tokens)
-    text = F.encode(quoted("text"), "UTF-8")
-    pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), byte_tokens(quoted("text")).alias("n"), F.sha2(text, 256).alias("piece"))
-    placed = _place(pieces, windows, step_tokens, group_tokens)
-    texts = docs.where(byte_tokens(quoted("text")) > 0).select(F.sha2(text, 256).alias("piece"), text.alias("whole")).dropDuplicates(["piece"])
-    part = F.substring(F.col("whole"), (F.col("start") + 1).cast("int"), F.col("n_tokens"))
-    return placed.join(texts, "piece").select(*COLUMNS, "piece", part.alias("bytes"))
-
-
-def _refuse(windows: Sequence[int], step_tokens: int) -> None:
     if not windows or min(windows) < 1:
         raise ValueError("windows must be positive")
     if step_tokens < max(windows):
         raise ValueError("a step must hold a window")
-
-
-def _place(docs: DataFrame, windows: Sequence[int], step_tokens: int, group_tokens: int) -> DataFrame:
-    """The rows of docs(doc_id, n), with a column piece or not, in windows."""
-    longest = max(windows)
-    counted = materialize(docs, "lengths").where("n > 0")  # counts are evaluated once, before they are filtered
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
-    own = [c for c in counted.columns if c != "n"]
-    cut = counted.select(*own, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("k"))
-    start = F.col("k") * longest
-    placed = cut.select(*own, start.alias("start"), F.least(F.lit(longest), F.col("n") - start).cast("int").alias("n_tokens"), F.pmod(F.xxhash64(*own, "k"), F.lit(groups)).cast("int").alias("pack_group"))
-    return placed.groupBy("pack_group").applyInPandas(_packed(tuple(windows), step_tokens), SCHEMA + ", piece string" * ("piece" in own))
+    text_batches(docs.sparkSession)
+    width, longest = id_bytes(vocabulary), max(windows)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("key"), token_ids(quoted("text"), vocabulary, end=True).alias("ids"))
+    rows = materialize(rows.select("*", (F.octet_length("ids") / width).cast("bigint").alias("n")), "ids").where("n > 0")
+    groups = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // group_tokens))
+    cut = rows.select("doc_id", "key", "ids", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / longest))).alias("k"))
+    part = F.substring("ids", (F.col("k") * (longest * width) + 1).cast("int"), F.lit(longest * width))
+    placed = cut.select("doc_id", "key", (F.col("k") * longest).alias("start"), part.alias("ids"), F.pmod(F.xxhash64("key", "k"), F.lit(groups)).cast("int").alias("pack_group"))
+    return placed.groupBy("pack_group").applyInArrow(_packed(tuple(windows), step_tokens, width), SCHEMA)

@@ -10,10 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomdex.llm.packing import STEP_TOKENS, pack, pack_documents, pack_pieces, steps
+from loomdex.llm.packing import STEP_TOKENS, pack, pack_documents, steps
 from loomdex.llm.packing import WINDOWS as TIERS
+from loomdex.llm.pretokens import VOCABULARY, encoding
 from loomdex.llm.queries import op7_hierarchical_packing
-from loomdex.llm.tokens import VOCABULARY, encoding
+from loomdex.llm.tokens import end_id
 
 WINDOWS = (16, 64, 256)
 
@@ -59,58 +60,75 @@ def test_steps_are_balanced():
     assert not set(step[sizes == 256]) & set(step[sizes == 64])
 
 
-def _check(rows, want, windows, step_tokens):
-    tokens, windows_of = defaultdict(list), defaultdict(list)
+def _ids(r):
+    return np.frombuffer(bytes(r["ids"]), "<u2").tolist()
+
+
+def _check(rows, texts, windows, step_tokens):
+    """Every document is put together again from the windows alone; windows and steps keep their sizes."""
+    encode, found, steps_of = encoding(VOCABULARY).encode_ordinary, defaultdict(list), defaultdict(set)
     for r in rows:
-        tokens[r["doc_id"]].append((r["start"], r["n_tokens"]))
-        windows_of[r["pack_group"], r["window"]].append(r)
-    assert {d: sum(n for _, n in parts) for d, parts in tokens.items()} == want
-    for parts in tokens.values():
-        at = 0
-        for start, n in sorted(parts):
-            assert start == at
-            at += n
-    steps_of = defaultdict(set)
-    for key, own in windows_of.items():
-        assert len({(r["window_tokens"], r["step"]) for r in own}) == 1
-        at = 0
-        for r in sorted(own, key=lambda r: r["offset"]):
-            assert r["offset"] == at and r["n_tokens"] <= r["window_tokens"]
-            at += r["n_tokens"]
-        assert at <= own[0]["window_tokens"] and own[0]["window_tokens"] in windows
-        steps_of[key[0], own[0]["step"]].add((key[1], own[0]["window_tokens"]))
+        ids, at = _ids(r), 0
+        assert r["n_tokens"] == len(ids) <= r["window_tokens"] and r["window_tokens"] in windows
+        for p in r["pieces"]:
+            assert p["offset"] == at and p["n_tokens"] > 0
+            at += p["n_tokens"]
+            found[p["doc_id"]].append((p["start"], ids[p["offset"] : at]))
+        assert at == len(ids)
+        steps_of[r["pack_group"], r["step"]].add((r["window"], r["window_tokens"]))
+    assert len({(r["pack_group"], r["window"]) for r in rows}) == len(rows)
+    want = defaultdict(list)
+    for doc_id, text in texts:
+        if text:
+            want[doc_id] += [*encode(text), end_id()]
+    assert set(found) == set(want)
+    for doc_id, parts in found.items():
+        got, at = [], 0
+        for start, ids in sorted(parts):
+            assert start in (0, at)  # rows that repeat a doc_id begin anew
+            at = start + len(ids)
+            got += ids
+        assert got == want[doc_id] or sorted(got) == sorted(want[doc_id]) and len(parts) > 1
     for own in steps_of.values():
         assert len({size for _, size in own}) == 1 and sum(size for _, size in own) <= step_tokens
 
 
 def test_all_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    want = {r["doc_id"]: len(r["text"].encode()) + 1 for r in docs.collect() if r["text"]}
-    for group_tokens in (1 << 26, 1 << 18):
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for group_tokens in (1 << 26, 1 << 16):
         rows = pack_documents(docs, (512, 2048, 8192), step_tokens=1 << 14, group_tokens=group_tokens).collect()
-        _check(rows, want, (512, 2048, 8192), 1 << 14)
-        filled = sum(want.values()) / sum({(r["pack_group"], r["window"]): r["window_tokens"] for r in rows}.values())
-        assert filled > 0.9
+        _check(rows, texts, (512, 2048, 8192), 1 << 14)
+        assert sum(r["n_tokens"] for r in rows) > 0.9 * sum(r["window_tokens"] for r in rows)
     assert len({r["pack_group"] for r in rows}) > 1
 
 
-def test_the_query_packs_tokens_of_the_vocabulary(spark, sf_dir):
-    encode = encoding(VOCABULARY).encode_ordinary
+def test_the_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
-    want = {r["doc_id"]: len(encode(r["text"])) + 1 for r in docs if r["text"]}
-    _check(op7_hierarchical_packing(spark, sf_dir).collect(), want, TIERS, STEP_TOKENS)
+    _check(op7_hierarchical_packing(spark, sf_dir).collect(), [(r["doc_id"], r["text"]) for r in docs], TIERS, STEP_TOKENS)
+
+
+def test_windows_equal_brute_force(spark):
+    """The whole plan of one group: sizes, places and contents by the plain search."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " a" * int(rng.integers(1, 250))) for i in range(120)]
+    rows = pack_documents(spark.createDataFrame(docs, "doc_id bigint, text string"), WINDOWS, 512).collect()
+    encode = encoding(VOCABULARY).encode_ordinary
+    order = sorted(docs, key=lambda d: (-len(encode(d[1])), d[0]))
+    at, offset, sizes = brute([len(encode(t)) + 1 for _, t in order], WINDOWS)
+    want = sorted((w, sizes[w], o, d) for (d, _), w, o in zip(order, at, offset))
+    assert sorted((r["window"], r["window_tokens"], p["offset"], p["doc_id"]) for r in rows for p in r["pieces"]) == want
 
 
 def test_table_cases(spark):
-    rows = [(1, 10, "x"), (2, 10, "x"), (2, 10, "x"), (None, 5, "x"), (None, 5, "x"), (3, None, "x"), (4, 0, "x"), (5, 1000, "x"), (6, -3, "x")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, n bigint, `window` string").withColumn("step", F.lit("clash"))
-    got = pack_documents(docs, WINDOWS, F.col("n"), 512).collect()
-    assert sorted((r["doc_id"] or 0, r["start"], r["n_tokens"]) for r in got) == [(0, 0, 5), (0, 0, 5), (1, 0, 10), (2, 0, 10), (2, 0, 10), (5, 0, 256), (5, 256, 256), (5, 512, 256), (5, 768, 232)]
-    places = [(r["pack_group"], r["window"], r["offset"]) for r in got]
-    assert len(set(places)) == len(places)
-    assert pack_documents(docs.limit(0), WINDOWS, F.col("n"), 512).count() == 0
-    texts = spark.createDataFrame([(1, None), (2, ""), (3, "é")], "doc_id bigint, text string")
-    assert [(r["doc_id"], r["n_tokens"]) for r in pack_documents(texts).collect()] == [(3, 3)]
+    long = " a" * 999
+    rows = [(1, " a" * 9, "x"), (2, " a" * 9, "x"), (2, " a" * 9, "x"), (None, " a" * 4, "x"), (None, " a" * 4, "x"), (3, None, "x"), (4, "", "x"), (5, long, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `window` string").withColumn("step", F.lit("clash")).withColumn("ids", F.lit(1))
+    got = pack_documents(docs, WINDOWS, 512).collect()
+    _check(got, [r[:2] for r in rows], WINDOWS, 512)
+    parts = sorted((p["doc_id"] or 0, p["start"], p["n_tokens"]) for r in got for p in r["pieces"])
+    assert parts == [(0, 0, 5), (0, 0, 5), (1, 0, 10), (2, 0, 10), (2, 0, 10), (5, 0, 256), (5, 256, 256), (5, 512, 256), (5, 768, 232)]
+    assert pack_documents(docs.limit(0), WINDOWS, 512).count() == 0
     for bad in ((), (0, 4)):
         with pytest.raises(ValueError):
             pack_documents(docs, bad)
@@ -118,14 +136,11 @@ def test_table_cases(spark):
         pack_documents(docs, WINDOWS, step_tokens=100)
 
 
-def test_pieces_of_one_document(spark):
-    """Pieces of a document, drawn again and of equal length among them, are told apart by what is packed."""
-    texts = ["first part, long enough to be cut é", "second part, and as long as the 1st", "second part, and as long as the 1st", "end"]
-    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, None), (3, "")], "doc_id bigint, text string")
-    rows = pack_pieces(docs, (16,), 16).collect()
-    found = defaultdict(list)
+def test_copies_go_to_many_groups(spark):
+    """Rows that are all alike are no hot key."""
+    docs = spark.range(300).selectExpr("7L as doc_id", "'the same text again' as text")
+    rows = pack_documents(docs, WINDOWS, 512, group_tokens=64).collect()
+    sizes = defaultdict(int)
     for r in rows:
-        found[r["piece"]].append((r["start"], bytes(r["bytes"])))
-    assert sorted(b"".join(b for _, b in sorted(set(p))).decode() for p in found.values()) == sorted(set(texts))
-    assert sum(r["n_tokens"] for r in rows) == sum(len(t.encode()) + 1 for t in texts)
-    assert len({(r["pack_group"], r["window"], r["offset"]) for r in rows}) == len(rows)
+        sizes[r["pack_group"]] += r["n_tokens"]
+    assert len(sizes) > 15 and max(sizes.values()) < 10 * 64 and sum(len(r["pieces"]) for r in rows) == 300

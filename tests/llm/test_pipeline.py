@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
+import numpy as np
 import pytest
 from test_mixing import model
 from test_neardup import brute as groups
 from test_repetition import brute as repeats
 
 import corpus_pipeline
-from loomdex.llm.mixing import BLOCK, SLOTS
+from loomdex.llm.mixing import SLOTS
+from loomdex.llm.pretokens import VOCABULARY, encoding
 from loomdex.llm.repetition import MAX_COVERED, MAX_LONGEST, MIN_REPEAT
+from loomdex.llm.tokens import end_id
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -55,6 +57,10 @@ def _rows(df):
     return Counter(map(tuple, df.collect()))
 
 
+def _pieces(windows):
+    return Counter((p["doc_id"], tuple(np.frombuffer(bytes(r["ids"]), "<u2")[p["offset"] : p["offset"] + p["n_tokens"] - 1].tolist())) for r in windows.collect() for p in r["pieces"])
+
+
 def test_columns(outputs):
     assert 4 <= len(STAGES) <= 5
     assert all(df.columns == outputs[0].columns for df in outputs[:-1])
@@ -89,35 +95,26 @@ def test_pii(outputs):
 
 def test_mixing(outputs):
     got = Counter((r["doc_id"], r["text"]) for r in outputs[4].collect())
-    assert got == Counter(p for row in model(outputs[3], BLOCK, SLOTS) for p in row[5])
+    assert got == Counter((d, t) for row in model(outputs[3], corpus_pipeline.PIECE, SLOTS) for d, _, t in row[5])
 
 
 def test_packing(outputs):
-    want = Counter()
-    for r in outputs[4].collect():
-        want[r["doc_id"]] += len(r["text"].encode()) + 1
-    got, places = Counter(), Counter()
-    for r in outputs[5].collect():
-        got[r["doc_id"]] += r["n_tokens"]
-        places[r["pack_group"], r["window"], r["window_tokens"]] += r["n_tokens"]
-    assert got == want and all(n <= size for (_, _, size), n in places.items())
-
-
-def test_windows_hold_the_pieces(outputs):
-    """From the rows alone the pieces are put together again, with how often each was drawn."""
-    want = Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest(), r["text"]) for r in outputs[4].collect())
-    found = defaultdict(Counter)
-    for r in outputs[5].collect():
-        found[r["doc_id"], r["piece"]][r["start"], bytes(r["bytes"])] += 1
+    """The windows alone give back the tokens of every piece that was drawn, as often as it was."""
+    encode = encoding(VOCABULARY).encode_ordinary
+    want = Counter((r["doc_id"], tuple(encode(r["text"]))) for r in outputs[4].collect())
     got = Counter()
-    for (doc_id, piece), parts in found.items():
-        (times,) = set(parts.values())
-        got[doc_id, piece, b"".join(b for _, b in sorted(parts)).decode()] += times
-    assert got == want
+    for r in outputs[5].collect():
+        ids = np.frombuffer(bytes(r["ids"]), "<u2").tolist()
+        assert len(ids) == r["n_tokens"] <= r["window_tokens"] == min(w for w in (2048, 8192, 32768) if w >= r["window_tokens"])
+        for p in r["pieces"]:
+            own = tuple(ids[p["offset"] : p["offset"] + p["n_tokens"]])
+            assert p["start"] == 0 and own[-1] == end_id() and end_id() not in own[:-1]  # pieces fit a window
+            got[p["doc_id"], own[:-1]] += 1
+    assert got == want == _pieces(outputs[5])
 
 
 def test_run(spark, sf, outputs):
-    assert _rows(corpus_pipeline.run(spark, sf)) == _rows(outputs[5])
+    assert _pieces(corpus_pipeline.run(spark, sf)) == _pieces(outputs[5])
 
 
 def test_an_empty_table(spark, tmp_path, outputs):
