@@ -36,10 +36,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost executor
-    loses nothing of it."""
+    loses nothing of it. discard() deletes it once nothing reads it any more."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize has written and that no result will read."""
+    for t in tables:
+        delete_path(t.sparkSession, t.written_to)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,11 @@ have been read with at least that chance, and the search stops.
 The projected space is halved at medians into cells of at most about CELL vectors, which are the tasks.
 Inside a cell a kd-tree goes on down to leaves, and the leaves are read in the order of their distance:
 a query and a leaf meet as long as the test allows, and the true distances decide. A query starts in its
-own cell and then visits every other cell that the test does not rule out. Every vector is a query.
+own cell and then visits every other cell that the test does not rule out.
+
+Of equal vectors only the K of the least ids are indexed: no other can be among anyone's K nearest, as ties go to
+the lesser id. The members of a group of more than K are answered from its K + 1 least ids. So a group of copies, however
+large, is a few rows, and rows that equal one of them are found all the same.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, small_side
+from loomdex.llm.common import discard, materialize, small_side
 
 K = 10
 M = 8  # even
@@ -70,15 +74,17 @@ def _matrix(column) -> np.ndarray:
 
 
 def cells(projected: DataFrame, cell: int = CELL, m: int = M) -> DataFrame:
-    """projected(id, v, p) with a column `cell`, written. Each cell of more than `cell` vectors is cut at the
+    """(id, p, cell) of projected(id, p), written. Each cell of more than `cell` vectors is cut at the
     median of its widest dimension, until none is left; medians are of all its vectors."""
-    now = projected.withColumn("cell", F.lit(1).cast("bigint"))
+    now = projected.select("id", "p", F.lit(1).cast("bigint").alias("cell"))
+    written: list[DataFrame] = []
     while True:
         sizes = now.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[(F.max(F.col("p")[j]) - F.min(F.col("p")[j])).alias(f"w{j}") for j in range(m)])
         big = sizes.where(F.col("n") > cell)
         widest = F.array_position(F.array(*[F.col(f"w{j}") for j in range(m)]), F.greatest(*[F.col(f"w{j}") for j in range(m)])) - 1
         big = materialize(big.where(F.greatest(*[F.col(f"w{j}") for j in range(m)]) > 0).select("cell", widest.cast("int").alias("dim")), "splits")
         if big.isEmpty():
+            discard(big)
             return now
         x = F.element_at("p", F.col("dim") + 1)
         cuts = now.join(small_side(big), "cell").groupBy("cell", "dim").agg(F.percentile_approx(x, 0.5, 10_000).alias("cut"), F.min(x).alias("least"))
@@ -86,7 +92,9 @@ def cells(projected: DataFrame, cell: int = CELL, m: int = M) -> DataFrame:
         cuts = materialize(cuts.select("cell", "dim", "cut", (F.col("cut") == F.col("least")).alias("low")), "cuts")
         split = now.join(small_side(cuts), "cell", "left")
         right = F.when(F.col("low"), x > F.col("cut")).otherwise(x >= F.col("cut"))
-        now = materialize(split.select("id", "v", "p", F.when(F.col("dim").isNull(), F.col("cell")).otherwise(F.col("cell") * 2 + right.cast("bigint")).alias("cell")), "cells")
+        now = materialize(split.select("id", "p", F.when(F.col("dim").isNull(), F.col("cell")).otherwise(F.col("cell") * 2 + right.cast("bigint")).alias("cell")), "cells")
+        discard(big, cuts, *written)
+        written = [now]
 
 
 class Tree:
@@ -128,20 +136,26 @@ class Tree:
             if not len(live):
                 continue
             a, b = self.starts[leaf], self.ends[leaf]
-            d = np.maximum(q2[live, None] + self.norm[None, a:b] - 2 * (qv[live] @ self.v[a:b].T), 0)
-            d[self.ids[None, a:b] == qid[live, None]] = np.inf
-            some = (d <= limit[live, None]).any(1)
-            live, d = live[some], d[some]
-            if not len(live):
+            # distances by the products, rough to their rounding, tell which to compute by the differences
+            rough = q2[live, None] + self.norm[None, a:b] - 2 * (qv[live] @ self.v[a:b].T)
+            slack = 1e-9 * (q2[live] + self.norm[a:b].max())
+            rough[self.ids[None, a:b] == qid[live, None]] = np.inf
+            most = limit[live] + slack
+            if b - a > k:
+                most = np.minimum(most, np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack)
+            row, col = np.nonzero((rough <= most[:, None]) & np.isfinite(rough))
+            if not len(row):
                 continue
-            all_d = np.concatenate([dist[live], d], 1)
-            all_i = np.concatenate([ids[live], np.broadcast_to(self.ids[a:b], d.shape)], 1)
-            best = np.argpartition(all_d, k - 1, axis=1)[:, :k] if all_d.shape[1] > k else np.broadcast_to(np.arange(all_d.shape[1]), all_d.shape)
-            dist[live], ids[live] = np.take_along_axis(all_d, best, 1), np.take_along_axis(all_i, best, 1)
-            limit[live] = np.minimum(limit[live], dist[live].max(1))
-        ids[np.isinf(dist)] = -1
-        order = np.lexsort((ids, dist), axis=1)
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+            d = np.concatenate([((qv[live[row]] - self.v[a + col]) ** 2).sum(1), dist[live].reshape(-1)])
+            i = np.concatenate([self.ids[a + col], ids[live].reshape(-1)])
+            row = np.concatenate([row, np.repeat(np.arange(len(live)), k)])
+            order = np.lexsort((i, d, row))
+            row = row[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = place < k
+            dist[live[row[best]], place[best]], ids[live[row[best]], place[best]] = d[order][best], i[order][best]
+            limit[live] = np.minimum(limit[live], dist[live, k - 1])
+        return ids, dist
 
 
 _FOUND = "id bigint, other bigint, d double"
@@ -159,8 +173,10 @@ def _search(tree: Tree, qid, qv, qp, bound, k: int, quantile: float) -> pa.Table
 
 def _home(k: int, quantile: float):
     def run(rows: pa.Table) -> pa.Table:
-        tree = Tree(rows["id"].to_numpy(), _matrix(rows["v"]), _matrix(rows["p"]))
-        return _search(tree, tree.ids, tree.v, tree.p, np.full(len(tree.ids), np.inf), k, quantile)
+        ids, v, p = rows["id"].to_numpy(), _matrix(rows["v"]), _matrix(rows["p"])
+        asks = np.flatnonzero(rows["asks"].to_numpy(zero_copy_only=False))
+        asks = asks[np.lexsort(p[asks].T)]  # neighbouring queries read the same leaves
+        return _search(Tree(ids, v, p), ids[asks], v[asks], p[asks], np.full(len(asks), np.inf), k, quantile)
 
     return run
 
@@ -186,14 +202,30 @@ def _gap(m: int) -> Column:
     return out
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = K, m: int = M, confidence: float = CONFIDENCE, cell: int = CELL, seed: int = SEED) -> DataFrame:
-    """(vec_id, neighbor_id, rank, distance): for every vector its k nearest others, rank 1 the nearest.
+def _copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """((id, v, asks) of the rows to index; (id, other, d) of those that ask and have k equals or more). Each task keeps k + 1
+    rows of each vector before they move."""
+    place = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    least = materialize(rows.withColumn("place", place).where(F.col("place") <= k + 1), "least")
+    full = least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("least")).where(F.size("least") == k + 1)
+    full = materialize(full.select(F.xxhash64("v").alias("h"), "v", "least"), "copies")
+    asking = rows.where("asks").select("id", F.xxhash64("v").alias("h"), F.col("v").alias("own"))
+    asking = asking.join(small_side(full, 100_000), "h").where(F.col("own") == F.col("v"))
+    others = F.slice(F.filter("least", lambda x: x != F.col("id")), 1, k)
+    answered = materialize(asking.select("id", F.explode(others).alias("other"), F.lit(0.0).alias("d")), "answered")
+    index = least.where(F.col("place") <= k).join(small_side(full.select("h", F.col("v").alias("w")), 100_000), (F.xxhash64("v") == F.col("h")) & (F.col("v") == F.col("w")), "left")
+    return index.select("id", "v", (F.col("asks") & F.col("w").isNull()).alias("asks")), answered
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = K, m: int = M, confidence: float = CONFIDENCE, cell: int = CELL, seed: int = SEED, asking: Column | None = None) -> DataFrame:
+    """(vec_id, neighbor_id, rank, distance): for every vector that asks its k nearest others, rank 1 the nearest.
 
-    Each true neighbour is found with a chance of at least about `confidence`. Ties go to the lesser id;
+    asking: a condition on vec_id; if it is not given, every vector asks. All rows are searched. Each true neighbour is
+    found with a chance of at least about `confidence`. Ties go to the lesser id, also at the k-th place;
     vectors with equal elements are each other's neighbours at distance 0. With fewer than k other
     vectors there are fewer rows. Rows without an id, and vectors that are null, empty, hold a null or
     NaN, or differ in length from the most, are left out; of rows that repeat an id one counts. Columns
-    other than vec_id and embedding are not read.
+    other than vec_id and embedding are not read. An empty table gives an empty one.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -206,10 +238,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, m: int = M, confidence: f
                 continue
             p = v @ directions(v.shape[1], m, seed)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, m, dtype=np.int32)), pa.array(p.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), flat], ["id", "v", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("asks"), flat], ["id", "v", "asks", "p"])
 
-    projected = materialize(clean_vectors(vectors).mapInArrow(project, "id bigint, v array<double>, p array<double>"), "projected")
-    placed = cells(projected, cell, m)
+    rows = clean_vectors(vectors).withColumn("vec_id", F.col("id"))
+    rows = rows.select("id", "v", (F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))).alias("asks"))
+    index, answered = _copies(materialize(rows, "vectors"), k)
+    projected = materialize(index.mapInArrow(project, "id bigint, v array<double>, asks boolean, p array<double>"), "projected")
+    placed = materialize(projected.join(cells(projected, cell, m).select("id", "cell"), "id"), "placed")
     home = materialize(placed.groupBy("cell").applyInArrow(_home(k, quantile), _FOUND), "neighbours")
     # what the home cell gives bounds the search elsewhere; without k of them nothing is bounded
     bound = home.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("b"))
@@ -220,15 +255,15 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, m: int = M, confidence: f
     boxes = boxes.withColumn("subtree", F.expr(f"shiftright(to, greatest(length(bin(to)) - {levels}, 0))"))
     wide = boxes.groupBy("subtree").agg(F.array(*[F.min(F.col("lo")[j]) for j in range(m)]).alias("lo"), F.array(*[F.max(F.col("hi")[j]) for j in range(m)]).alias("hi"))
     near = _gap(m) <= F.lit(quantile) * F.col("bound")
-    asking = placed.join(bound, "id", "left").withColumn("bound", F.coalesce("b", F.lit(float("inf"))))
-    asking = asking.crossJoin(small_side(materialize(wide, "subtrees"))).where(near).drop("lo", "hi")
-    asking = asking.join(small_side(materialize(boxes, "cell-boxes")), "subtree").where((F.col("to") != F.col("cell")) & near)
+    asked_for = placed.where("asks").drop("asks").join(bound, "id", "left").withColumn("bound", F.coalesce("b", F.lit(float("inf"))))
+    asked_for = asked_for.crossJoin(small_side(materialize(wide, "subtrees"))).where(near).drop("lo", "hi")
+    asked_for = asked_for.join(small_side(materialize(boxes, "cell-boxes")), "subtree").where((F.col("to") != F.col("cell")) & near)
     # a cell that many ask is searched by many tasks, each with about as many queries as a cell has vectors
-    parts = asking.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts"))
+    parts = asked_for.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts"))
     parts = small_side(materialize(parts, "parts"))
-    asking = asking.join(parts, "to").select("to", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("q_part"), *[F.col(c).alias(f"q_{c}") for c in ("id", "v", "p", "bound")])
+    queries = asked_for.join(parts, "to").select("to", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("q_part"), *[F.col(c).alias(f"q_{c}") for c in ("id", "v", "p", "bound")])
     asked = placed.join(parts, F.col("cell") == F.col("to")).select("id", "v", "p", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    away = asked.groupBy("cell", "part").cogroup(asking.groupBy("to", "q_part")).applyInArrow(_away(k, quantile), _FOUND)
+    away = asked.groupBy("cell", "part").cogroup(queries.groupBy("to", "q_part")).applyInArrow(_away(k, quantile), _FOUND)
     best = F.row_number().over(W.partitionBy("id").orderBy("d", "other"))
-    ranked = home.union(away).withColumn("rank", best).where(F.col("rank") <= k)
+    ranked = home.union(away).union(answered).withColumn("rank", best).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias("vec_id"), F.col("other").alias("neighbor_id"), "rank", F.sqrt("d").alias("distance"))
