@@ -10,6 +10,7 @@ of overlapping ones the best (then the longest, then the first) stays.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -176,11 +177,14 @@ def find_pii(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str,
             if score >= threshold:
                 found.append((kind.name, start, end, score))
     found.sort(key=lambda x: (-x[3], x[1] - x[2], x[1], x[0]))
-    kept: list[tuple[str, int, int, float]] = []
+    starts: list[int] = []  # of the kept spans, by position
+    kept: dict[int, tuple[str, int, int, float]] = {}
     for span in found:
-        if all(span[2] <= k[1] or span[1] >= k[2] for k in kept):
-            kept.append(span)
-    return sorted(kept, key=lambda x: x[1])
+        i = bisect(starts, span[1])
+        if (not i or kept[starts[i - 1]][2] <= span[1]) and (i == len(starts) or starts[i] >= span[2]):
+            starts.insert(i, span[1])
+            kept[span[1]] = span
+    return [kept[s] for s in starts]
 
 
 def redact(text: str | None, threshold: float = THRESHOLD) -> str | None:
@@ -212,7 +216,9 @@ def pii_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, kind, start, end, value, score), a row for each span of each row of docs.
 
     start and end count characters from 0. Null and empty texts have no spans; a null doc_id is
-    reported as null; repeated rows are reported each. Other columns are not read.
+    reported as null; repeated rows are reported each. A text of any length is searched as a whole, in time that grows
+    with its length and its spans (and the logarithm of their number). Of overlapping spans of one score the longest,
+    then the first counts. Other columns are not read. An empty table gives an empty one.
     """
     text_batches(docs.sparkSession)
     spans = docs.select("doc_id", quoted("text").alias("text"), F.explode(pii_spans(quoted("text"), threshold)).alias("s"))
@@ -221,7 +227,8 @@ def pii_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def redact_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the spans in text replaced and n_chars, if there is one, counted again; the other
-    columns and all rows stay as they are. A null text stays null."""
+    columns, of whatever names, and all rows stay as they are, repeated ones and those without a doc_id too. A null text
+    stays null and an empty one empty; a text of any length is searched as a whole. An empty table gives an empty one."""
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([redact(t.as_py(), threshold) for t in texts], pa.string())

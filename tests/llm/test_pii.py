@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from loomdex.llm import pii
 from loomdex.llm.pii import IBAN_LENGTHS, find_pii, luhn, mod97, pii_report, redact, redact_documents
 
 FOUND = [
@@ -81,6 +87,47 @@ def test_overlaps_keep_the_best():
     assert [s[0] for s in spans] == ["email"]
 
 
+def _best_first(text):
+    """Overlaps settled by comparing all confirmed spans with all that were kept."""
+    found = []
+    for kind in pii.KINDS:
+        for start, end in kind.propose(text):
+            if kind.valid(text[start:end]):
+                before, after = text[max(0, start - pii.NEAR) : start], text[end : end + pii.NEAR // 3]
+                near = any(re.search(rf"(?<![^\W_])(?:{kind.words})(?![^\W_])", part, re.IGNORECASE) for part in (before, after))
+                off = re.search(rf"(?<![^\W_])(?:{kind.against})(?![^\W_])", before, re.IGNORECASE)
+                score = round(min(1.0, kind.base + pii.BOOST * near - pii.DAMPEN * bool(off)), 4)
+                if score >= pii.THRESHOLD:
+                    found.append((kind.name, start, end, score))
+    kept = []
+    for span in sorted(found, key=lambda x: (-x[3], x[1] - x[2], x[1], x[0])):
+        if all(span[2] <= k[1] or span[1] >= k[2] for k in kept):
+            kept.append(span)
+    return sorted(kept, key=lambda x: x[1])
+
+
+PARTS = [v for _, _, v in FOUND] + CLEAN + ["card ", "mail ", "phone ", "version ", " ", "-", "@", ".", "1", "4111", "é", "\n", "a.b@c.example", "x"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14))
+def test_equals_brute_force(parts):
+    for text in ("".join(parts), " ".join(parts)):
+        assert find_pii(text) == _best_first(text)
+
+
+def test_the_documents_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted((r["doc_id"], k, a, b, r["text"][a:b], s) for r in docs.collect() for k, a, b, s in _best_first(r["text"] or ""))
+    assert sorted(map(tuple, pii_report(docs).collect())) == want and len(want) > 10
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"user{i}@example.org" for i in range(100_000))
+    began = time.perf_counter()
+    assert len(find_pii(text)) == 100_000 and time.perf_counter() - began < 60
+
+
 def test_table_cases(spark):
     long = "filler words " * 50_000 + "mail a.b@c.example " + "tail " * 10
     rows = [(1, "mail a.b@c.example", 18, "s"), (2, None, None, "s"), (3, "", 0, None), (None, "mail a.b@c.example", 18, "s"), (1, "mail a.b@c.example", 18, "s"), (4, long, len(long), "s"), (5, "é漢\U0001f600 mail a.b@c.example", 22, "s")]
