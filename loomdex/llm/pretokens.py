@@ -21,9 +21,9 @@ from loomdex.llm.shingles import U64, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SLOTS = 1 << 21  # places for pre-tokens that a process remembers
-TEXT_BYTES = 4 << 20  # bytes of text whose pre-tokens are compared together; a longer text is one such part
-HASH_BYTES = 1 << 20  # bytes that are hashed together
+SLOTS = 1 << 19  # places for pre-tokens that a process remembers
+TEXT_BYTES = 1 << 20  # bytes of text whose pre-tokens are compared together; a longer text is one such part
+HASH_BYTES = 1 << 18  # bytes that are hashed together
 
 LETTER, DIGIT, SPACE, OTHER = range(4)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
