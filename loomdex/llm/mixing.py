@@ -165,11 +165,15 @@ def pieces(where: DataFrame, block: int = BLOCK, width: int = 2) -> DataFrame:
     return rows.select("carried", "name", "block", (F.col("first") + lo - start).alias("at"), (lo > 0).alias("inner"), cut(lo, hi - lo).alias("part"), cut(hi, F.lit(3)).alias("tail"))
 
 
-def _drawn(rows: DataFrame, plan: DataFrame, passes: dict[str, int]) -> DataFrame:
-    """rows(name, block, ...) joined to the slots of plan. A block's slots are of as many passes as its source has;
-    they are dealt to copies of it, so that a source that is repeated without end is many tasks' work."""
+def _salted(rows: DataFrame, passes: dict[str, int]) -> DataFrame:
+    """rows(name, block, ...) with `copy`: as many copies of a source's blocks as its slots are dealt to, by their pass, so
+    that a source that is repeated without end is many tasks' work."""
     copies = rows.sparkSession.createDataFrame([(s, -(-n // PASSES)) for s, n in sorted(passes.items())], "name string, copies int")  # a row a source
-    salted = rows.join(small_side(copies), "name").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return rows.join(small_side(copies), "name").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+
+
+def _drawn(salted: DataFrame, plan: DataFrame) -> DataFrame:
+    """_salted's rows joined to the slots of plan. Rows that are grouped by (name, block, copy) lie right for it."""
     return salted.join(plan.withColumn("copy", F.floor(F.col("pass") / PASSES).cast("int")), ["name", "block", "copy"]).drop("copy")
 
 
@@ -222,7 +226,7 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     """
     carried = F.struct(*[quoted(c) for c in docs.columns if c != "text"], F.lit(0).alias(_spare(docs)))
     rows, plan, passes = _planned(docs, carried, weights, block, slots, seed, vocabulary)
-    drawn = _drawn(rows.select("carried", "name", "block", "inner", "part", "tail"), plan, passes)
+    drawn = _drawn(_salted(rows.select("carried", "name", "block", "inner", "part", "tail"), passes), plan)
     rows = drawn.select("carried", F.arrow_udf(_texts(vocabulary), "string")(F.col("part"), F.col("tail"), F.col("inner")).alias("cut")).where("cut <> ''")
     return rows.select(*[F.col("cut").alias("text") if c == "text" else F.length("cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("carried").getField(c).alias(c) for c in docs.columns])
 
@@ -238,8 +242,8 @@ def mixed_blocks(docs: DataFrame, weights: dict[str, float] | None = None, block
     for the last of each source. Cases as in mix_documents, but nothing is cut at characters."""
     width = id_bytes(vocabulary)
     rows, plan, passes = _planned(docs, quoted("doc_id"), weights, block, slots, seed, vocabulary)
-    whole = rows.groupBy("name", "block").agg(F.sort_array(F.collect_list(F.struct("at", F.col("carried").alias("doc_id"), "part"))).alias("parts"))
+    whole = _salted(rows.drop("tail", "inner"), passes).groupBy("name", "block", "copy").agg(F.sort_array(F.collect_list(F.struct("at", F.col("carried").alias("doc_id"), "part"))).alias("parts"))
     ids = F.aggregate("parts", F.lit(b""), lambda done, p: F.concat(done, p["part"]))
-    whole = whole.select("name", "block", F.col("parts.doc_id").alias("doc_ids"), ids.alias("ids"))
-    out = _drawn(whole, plan, passes)
+    whole = whole.select("name", "block", "copy", F.col("parts.doc_id").alias("doc_ids"), ids.alias("ids"))
+    out = _drawn(whole, plan)
     return out.select("shard", "slot", F.col("name").alias("source"), "pass", "block", (F.octet_length("ids") / width).cast("int").alias("n_tokens"), "doc_ids", "ids")
