@@ -27,7 +27,7 @@ from loomdex.llm.tokens import id_bytes, token_ids
 
 WINDOWS = (2048, 8192, 32768)  # tokens
 STEP_TOKENS = 1 << 19
-GROUP_TOKENS = 1 << 24
+GROUP_TOKENS = 1 << 22
 SCHEMA = "pack_group int, window int, window_tokens int, step int, n_tokens int, pieces array<struct<doc_id:bigint,start:bigint,offset:int,n_tokens:int>>, ids binary"
 
 
