@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -104,3 +105,31 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     picked = F.max_by(F.struct(*map(quoted, docs.columns)), F.struct(*by)).alias("picked")
     once = docs.join(small_side(again), "doc_id", "left_semi").groupBy("doc_id").agg(picked).select("picked.*")
     return docs.join(small_side(again), "doc_id", "left_anti").select(*map(quoted, docs.columns)).unionByName(once)
+
+
+#: A key is heavy from this share of all rows on, and this many of them.
+HEAVY_SHARE, HEAVY_ROWS = 1024, 100_000
+
+
+def heavy_keys(df: DataFrame, key: str) -> list[int]:
+    """The values of a bigint column that so many rows have that one task should not have them all: HEAVY_SHARE at
+    most, from summaries of fixed size that each task makes of its rows. Other values may be among them."""
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {HEAVY_SHARE}, {16 * HEAVY_SHARE})").alias("top")).first()
+    return [t["item"] for t in got["top"] if t["item"] is not None and t["count"] >= max(got["n"] / HEAVY_SHARE, HEAVY_ROWS)]
+
+
+def with_aggregates(df: DataFrame, key: str, by: list[str], **aggregates: tuple[str, str]) -> DataFrame:
+    """df with a column for each of aggregates, name=(function, column), over the rows that agree in `by`; key: one of
+    them, a bigint. Groups of heavy keys are aggregated where their rows lie, which do not move; those of
+    others meet in a task each."""
+    made = {name: getattr(F, f)(column) for name, (f, column) in aggregates.items()}
+    heavy = heavy_keys(df, key)
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    rest = df.where(~is_heavy) if heavy else df
+    for name, a in made.items():
+        rest = rest.withColumn(name, a.over(W.partitionBy(*by)))
+    if not heavy:
+        return rest
+    own = df.where(is_heavy)
+    totals = own.groupBy(*by).agg(*[a.alias(name) for name, a in made.items()])
+    return rest.unionByName(own.join(small_side(materialize(totals, "heavy")), by))

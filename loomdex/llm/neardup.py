@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import materialize, one_row_per_id, quoted, small_side, text_batches
+from loomdex.llm.common import discard, materialize, one_row_per_id, quoted, small_side, text_batches, with_aggregates
 from loomdex.llm.components import components
 from loomdex.llm.shingles import U64, grams, mix64, slices, string_buffers, words
 
@@ -105,20 +104,20 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def equal_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, n_grams, bands), written: `same` is the least document with an equal set of grams;
-    bands only where that is the document itself."""
-    signed = _texts(docs).mapInArrow(_signed, "doc_id bigint, k1 bigint, k2 bigint, n_grams bigint, bands array<bigint>")
-    # a repeated doc_id is one document here: that with the least key
-    w = W.partitionBy("k1", "k2")
-    out = signed.withColumn("same", F.min("doc_id").over(w)).withColumn("n", F.row_number().over(w.orderBy("doc_id")))
-    return materialize(out.select("doc_id", "same", "n_grams", F.when(F.col("n") == 1, F.col("bands")).alias("bands")), "signatures")
+    """(doc_id, same, copied, n_grams, bands), written: `same` is the least document with an equal set of grams, copied
+    whether there is another; bands only where `same` is the document itself."""
+    signed = materialize(_texts(docs).mapInArrow(_signed, "doc_id bigint, k1 bigint, k2 bigint, n_grams bigint, bands array<bigint>"), "signed")
+    ids = with_aggregates(signed.select("doc_id", "k1", "k2", "n_grams", "bands"), "k1", ["k1", "k2"], same=("min", "doc_id"), most=("max", "doc_id"))
+    out = ids.select("doc_id", "same", (F.col("same") != F.col("most")).alias("copied"), "n_grams", F.when(F.col("doc_id") == F.col("same"), F.col("bands")).alias("bands"))
+    out = materialize(out, "signatures")
+    discard(signed)
+    return out
 
 
 def buckets(signed: DataFrame) -> DataFrame:
     """(bucket, doc, n_grams, least, least_grams) of every bucket with at least two documents, written."""
-    w = W.partitionBy("bucket")
     rows = signed.where(F.col("bands").isNotNull()).select(F.col("doc_id").alias("doc"), "n_grams", F.explode("bands").alias("bucket"))
-    rows = rows.withColumn("first", F.min(F.struct("doc", "n_grams")).over(w)).withColumn("most", F.max("doc").over(w))
+    rows = with_aggregates(rows.withColumn("own", F.struct("doc", "n_grams")), "bucket", ["bucket"], first=("min", "own"), most=("max", "doc"))
     return materialize(rows.where("first.doc <> most").select("bucket", "doc", "n_grams", F.col("first.doc").alias("least"), F.col("first.n_grams").alias("least_grams")), "buckets")
 
 
@@ -170,10 +169,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of its group, whose own row is among them.
 
     Null and empty texts, and texts of white space only, are compared with nothing. A null doc_id is
-    left out. Rows that repeat a doc_id count as one document: copies of it change nothing; if their
-    texts differ, each text may link the doc_id. Texts of fewer words than a shingle are compared as a
-    whole. Columns other than doc_id and text are not read.
+    left out. Rows that repeat a doc_id count as one document, that of the greatest text. Texts of fewer words than a shingle are compared as a
+    whole, and so is a text of any length, by one task each time. Words end at white space of any kind; in scripts
+    without spaces a character is a word. Groups of copies and buckets of any size are dealt with without being
+    gathered in a task. Columns other than doc_id and text are not read. An empty table gives an empty one.
     """
+    return _groups(one_row_per_id(docs.where(F.col("doc_id").isNotNull()).select("doc_id", quoted("text").alias("text"))), threshold)
+
+
+def _groups(docs: DataFrame, threshold: float) -> DataFrame:
+    """near_duplicates of rows that do not repeat a doc_id."""
     text_batches(docs.sparkSession)
     signed = equal_sets(docs)
     spread = buckets(signed)
@@ -182,21 +187,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(edges)
     # what the stars left apart: every pair of a bucket whose components still differ
     named = spread.join(labels, F.col("doc") == F.col("node"), "left").select("bucket", "doc", "n_grams", F.coalesce("label", "doc").alias("label"))
-    w = W.partitionBy("bucket")
-    open_ = named.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi")
-    open_ = materialize(open_.select("bucket", "doc", "n_grams", "label"), "open")
+    named = materialize(named, "named")
+    open_ = materialize(with_aggregates(named, "bucket", ["bucket"], lo=("min", "label"), hi=("max", "label")).where("lo <> hi").select("bucket", "doc", "n_grams", "label"), "open")
     left, right = open_.alias("x"), open_.alias("y")
     both = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & comparable(F.col("x.n_grams"), F.col("y.n_grams"), threshold))
     rest = both.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     edges = edges.union(verified(docs, rest, threshold))
-    same = signed.where("doc_id <> same").select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
-    return components(edges.union(same)).select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"))
+    labels = components(edges).withColumnRenamed("node", "same")
+    # copies take the label of their set's least document
+    found = signed.select("doc_id", "same", "copied").join(labels, "same", "left").where("copied or label is not null")
+    found = materialize(found.select("doc_id", F.coalesce("label", "same").alias("group_id")).distinct(), "groups")
+    discard(spread, star, named, open_, rest)
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, of one document of each group: that with the least
-    doc_id. Of rows that repeat a doc_id, one stays (they count as one document). Rows with a null
-    doc_id, and null or empty texts, have no group and stay."""
-    drop = materialize(near_duplicates(docs, threshold).where("doc_id <> group_id").select("doc_id"), "dropped")
-    return one_row_per_id(docs.join(small_side(drop), "doc_id", "left_anti").select(*map(quoted, docs.columns)))
+    doc_id. Of rows that repeat a doc_id, one stays (they count as one document), that of the greatest text if
+    they differ. Rows with a null doc_id, and null or empty texts, have no group and stay. Otherwise as in
+    near_duplicates; an empty table gives an empty one."""
+    once = one_row_per_id(docs)
+    drop = materialize(_groups(once, threshold).where("doc_id <> group_id").select("doc_id"), "dropped")
+    return once.join(small_side(drop), "doc_id", "left_anti").select(*map(quoted, docs.columns))

@@ -1,8 +1,9 @@
 """Vectorised word and word n-gram hashing over the buffers of an Arrow string column.
 
 Texts are hashed in slices of whole documents, so nothing is looped over per word in Python.
-Words are the maximal runs of bytes above 0x20 in the UTF-8 text; a word n-gram that would cross
-a document's end is not formed.
+Words are what lies between white space, of Unicode's kinds too; in scripts that are written without spaces (Chinese,
+Japanese, Thai, Lao, Khmer, Burmese) each character is a word. A word n-gram that would cross a document's end is
+not formed.
 """
 
 from __future__ import annotations
@@ -67,6 +68,26 @@ def slices(offsets: np.ndarray, most_bytes: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def _beyond_ascii(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the bytes of white space, places where a character of an unspaced script begins or has ended) among
+    the characters of several bytes in UTF-8 texts."""
+    lead = np.flatnonzero(part >= 0xC2)
+    none = np.zeros(0, np.int64)
+    if not len(lead):
+        return none, none
+    padded = np.concatenate([part, np.zeros(2, np.uint8)])
+    a, b, c = part[lead], padded[lead + 1], padded[lead + 2]
+    two = lead[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
+    wide = (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    general = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    three = lead[wide | general | ((a == 0xE1) & (b == 0x9A) & (c == 0x80))]
+    space = np.concatenate([two, two + 1, three, three + 1, three + 2])
+    south = ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | (b == 0x9E) | (b == 0x9F)))
+    own = ((a >= 0xE3) & (a <= 0xE9) & ~wide) | south
+    rare = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    return space, np.concatenate([lead[own], lead[own] + 3, lead[rare], lead[rare] + 4])
+
+
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each document) for documents lying side by side."""
     n_docs = len(offsets) - 1
@@ -74,14 +95,16 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if hi == lo:
         return np.zeros(0, U64), np.zeros(n_docs, np.int64)
     part = data[lo:hi]
+    space, unspaced = _beyond_ascii(part)
     inside = np.zeros(hi - lo + 2, np.int8)
     inside[1:-1] = part > 32
+    inside[space + 1] = 0
     step = np.diff(inside)
     starts = np.flatnonzero(step == 1)
     ends = np.flatnonzero(step == -1)
-    # a word is also cut where a document ends
-    cuts = (offsets[1:-1] - lo)[(offsets[1:-1] > lo) & (offsets[1:-1] < hi)]
-    cuts = np.unique(cuts)
+    # a word is also cut where a document ends, and around characters that are words
+    cuts = np.concatenate([offsets[1:-1] - lo, unspaced])
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < hi - lo)])
     cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)] if len(cuts) else cuts
     if len(cuts):
         starts = np.sort(np.concatenate([starts, cuts]))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
-from loomdex.llm import neardup
+from loomdex.llm import common, neardup
+from loomdex.llm import components as components_
 from loomdex.llm.components import components
 from loomdex.llm.neardup import drop_near_duplicates, near_duplicates
 
@@ -14,8 +16,8 @@ from loomdex.llm.neardup import drop_near_duplicates, near_duplicates
 def _sets(rows):
     out = {}
     for i, t in rows:
-        words = "".join(c if ord(c) > 32 else " " for c in (t or "").lower()).split(" ")
-        words = [w for w in words if w]
+        words = re.sub(r"[぀-龿々฀-໿က-႟ក-៿\U00020000-\U000323af]", r" \g<0> ", (t or "").lower())
+        words = [w for w in re.split(r"[\x00-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", words) if w]
         if i is not None and words:
             out[i] = {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
     return out
@@ -106,6 +108,36 @@ def test_table_cases(spark):
     assert near_duplicates(docs.limit(0)).count() == 0 and drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_scripts_without_spaces(spark):
+    """Near copies of texts without spaces are found, and white space of any kind separates words."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        base = [chr(rng.randrange(0x4E00, 0x9FA5)) if k % 2 else chr(rng.randrange(0xE01, 0xE2E)) for _ in range(120)]
+        other = [*base[:60], "新", *base[61:]]
+        rows += [(3 * k, "".join(base)), (3 * k + 1, "".join(other)), (3 * k + 2, "\u3000".join(base))]
+    rows += [(100, "one\xa0two\u2009three four five six"), (101, "one two three four\u3000five six"), (102, "漢字かなabc\U00020000x, and so on"), (103, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, want = brute(rows)
+    assert {r["doc_id"]: r["group_id"] for r in near_duplicates(docs).collect()} == want and want[1] == want[2] == 0 and want[101] == 100
+
+
+def test_heavy_groups(spark, corpus, monkeypatch):
+    """Groups of copies, buckets and nodes that are too much for one task give the same groups."""
+    rng = random.Random(6)
+    base = _text(rng)
+    rows = corpus + [(10_000 + i, " ".join(base)) for i in range(150)] + [(20_000 + i, " ".join([*base[:70], f"v{i}", *base[71:]])) for i in range(60)]
+    rows += [(5, "zz another text of this id, which is the greater one")] + [(30_000, "zz another text of this id, which is the greater one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(tuple, near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "HEAVY_ROWS", 40)
+    monkeypatch.setattr(components_, "HEAVY_ROWS", 40)
+    assert common.heavy_keys(docs.selectExpr("doc_id div 10000 as k"), "k")
+    assert sorted(map(tuple, near_duplicates(docs).collect())) == want
+    groups = dict(want)
+    assert groups[5] == groups[30_000] == 5 and groups[10_000] == groups[20_059]
+
+
 def test_a_repeated_id_stays_once(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "quite another text")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in drop_near_duplicates(docs).collect()) == [1, 2]
