@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,28 +31,34 @@ def principal_tokens(user_id: Column, tokens: Column) -> Column:
     return F.array_distinct(F.array_union(F.array(F.concat(F.lit("user_"), user_id)), F.coalesce(tokens, F.array().cast("array<string>"))))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: written out, each step of a mix would double the expression, and with it
+    the optimizer's work."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _times_u32(h: Column, factor: int) -> Column:
     # the low 32 bits of a product, in halves that stay below 2**63
     low, high = factor & 0xFFFF, factor >> 16
     return (h * F.lit(low) + (h * F.lit(high)).bitwiseAND(0xFFFF) * F.lit(65536)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _fold(h: Column, shift: int) -> Column:
+    return _let(h, lambda x: x.bitwiseXOR(F.shiftright(x, shift)))
+
+
 def fmix32(value: Column) -> Column:
     """The 32-bit finaliser of MurmurHash3, as an unsigned bigint."""
-    h = value.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
-    h = h.bitwiseXOR(F.shiftright(h, 16))
-    h = _times_u32(h, 0x85EBCA6B)
-    h = h.bitwiseXOR(F.shiftright(h, 13))
-    h = _times_u32(h, 0xC2B2AE35)
-    return h.bitwiseXOR(F.shiftright(h, 16))
+    h = _fold(value.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)), 16)
+    h = _fold(_let(h, lambda x: _times_u32(x, 0x85EBCA6B)), 13)
+    return _fold(_let(h, lambda x: _times_u32(x, 0xC2B2AE35)), 16)
 
 
 def shard_of(doc_id: Column, shards: int) -> Column:
     """The shard that a document belongs to: the signed finaliser modulo the number of shards."""
     if shards < 1:
         raise ValueError("there must be a shard")
-    h = fmix32(doc_id)
-    signed = F.when(h >= 2**31, h - 2**32).otherwise(h)
+    signed = _let(fmix32(doc_id), lambda h: F.when(h >= 2**31, h - 2**32).otherwise(h))
     return F.pmod(signed, F.lit(shards)).cast("int")
 
 
@@ -81,8 +89,9 @@ def rrf(ranks: Column, k: int = RRF_K) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Products in single precision, added in double."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("float").cast("double")), F.lit(0.0), lambda s, p: s + p)
+    """Products in single precision, added in double. Vectors of different lengths fail the query."""
+    added = F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("float").cast("double")), F.lit(0.0), lambda s, p: s + p)
+    return F.when(F.size(a) == F.size(b), added).otherwise(F.raise_error(F.lit("token vectors differ in length")).cast("double"))
 
 
 def max_sim(query_tokens: Column, doc_tokens: Column) -> Column:

@@ -25,6 +25,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, tokens: DataFrame, by: lis
     vectors of queries(query_id, colbert_tokens, top_k) and of tokens(doc_id, colbert_tokens), cut at top_k.
     A candidate without vectors scores 0."""
     asked = F.broadcast(queries.select("query_id", F.col("colbert_tokens").alias("asked"), "top_k"))  # a batch of queries
-    rows = candidates.select(*by, "doc_id").join(asked, "query_id").join(tokens.select("doc_id", "colbert_tokens"), "doc_id", "left")
+    key = ["segment", "doc_id"] if "segment" in by and "segment" in tokens.columns else ["doc_id"]
+    rows = candidates.select(*by, "doc_id").join(asked, "query_id").join(tokens.select(*key, "colbert_tokens"), key, "left")
     scored = rows.select(*by, "doc_id", "top_k", X.max_sim(F.col("asked"), F.col("colbert_tokens")).alias("score"))
     return top_k(scored, by, F.col("top_k")).select(*by, "doc_id", "score", "rank")

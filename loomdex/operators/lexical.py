@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdex.functions import expressions as X
+from loomdex.sources.storage import small_side
 
 BLOCK = 128
 
@@ -41,23 +42,55 @@ def term_stats(tf: DataFrame) -> DataFrame:
     return tf.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+HOT = 1 << 20  # documents of a segment from which the posting list of a term may be too long for one task
+
+
+def _largest(docs: DataFrame) -> int:
+    """The documents of the largest segment."""
+    return docs.groupBy("segment").count().agg(F.max("count")).first()[0] or 0
+
+
 def postings(docs: DataFrame, only: list[str] | None = None, k1: float = X.K1, b: float = X.B) -> DataFrame:
-    """(segment, term, doc_id, tf, doc_len, impact). only: build the postings of these terms alone, with
-    the statistics of the whole segment."""
-    lengths = docs.select("segment", "doc_id", F.size("terms").alias("doc_len"), *([F.filter("terms", lambda t: t.isin(only)).alias("terms")] if only is not None else ["terms"]))
-    tf = lengths.select("segment", "doc_id", "doc_len", F.explode("terms").alias("term")).groupBy("segment", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
-    df = term_stats(tf)
-    stats = F.broadcast(segment_stats(docs))  # a row a segment
-    joined = tf.join(df, ["segment", "term"]).join(stats, "segment")
-    return joined.select("segment", "term", "doc_id", "tf", "doc_len", X.bm25(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b).alias("impact"))
+    """(segment, term, doc_id, tf, doc_len, df, impact). only: build the postings of these terms alone, with
+    the statistics of the whole segment. A document without a proper id or with an empty term fails the query."""
+    stats = segment_stats(docs)
+    lengths = checked(docs).select("segment", "doc_id", F.size("terms").alias("doc_len"), *([F.filter("terms", lambda t: t.isin(only)).alias("terms")] if only is not None else ["terms"]))
+    return with_impacts(lengths.select("segment", "doc_id", "doc_len", F.explode("terms").alias("term")), stats, _largest(docs), k1, b)
+
+
+def with_impacts(found: DataFrame, stats: DataFrame, largest: int, k1: float = X.K1, b: float = X.B) -> DataFrame:
+    """The postings of found(segment, term, doc_id, doc_len), a row for each time a term is there, with the statistics
+    stats(segment, n_docs, avg_len). largest: the documents of the largest segment. Up to HOT of them a list is one
+    task's work and its length is counted where it is sorted; beyond, lengths are counted and joined."""
+    if largest <= HOT:
+        found = found.repartition("segment", "term")
+    tf = found.groupBy("segment", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
+    if largest <= HOT:
+        tf = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("segment", "term")))
+    else:
+        tf = tf.join(term_stats(tf), ["segment", "term"])
+    joined = tf.join(small_side(stats), "segment")
+    return joined.select("segment", "term", "doc_id", "tf", "doc_len", "df", X.bm25(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b).alias("impact"))
+
+
+CHUNK_IDS = 1 << 16  # ids of a long posting list that one task numbers
 
 
-def blocks(posted: DataFrame, size: int = BLOCK) -> DataFrame:
+def blocks(posted: DataFrame, size: int = BLOCK, hot: int = HOT, largest: int | None = None) -> DataFrame:
     """(segment, term, block_no, n, first_doc, max_doc_id, max_impact, bit_width): the posting lists in
-    blocks of `size`, by ascending id."""
-    w = W.partitionBy("segment", "term").orderBy("doc_id")
-    numbered = posted.withColumn("block_no", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
-    out = numbered.groupBy("segment", "term", "block_no").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("max_doc_id"), F.greatest(F.max("impact"), F.lit(0.0).cast("float")).alias("max_impact"))
+    blocks of `size`, by ascending id. Lists of more than `hot` entries are numbered by chunks of ids; largest:
+    a number of entries that none exceeds, if it is known."""
+    chunk = F.when(F.col("df") > hot, F.floor(F.col("doc_id") / CHUNK_IDS)).otherwise(F.lit(0))
+    numbered = posted.withColumn("chunk", chunk)
+    place = F.row_number().over(W.partitionBy("segment", "term", "chunk").orderBy("doc_id"))
+    counts = numbered.where(F.col("df") > hot).groupBy("segment", "term", "chunk").agg(F.count(F.lit(1)).alias("own"))
+    before = counts.select("segment", "term", "chunk", (F.sum("own").over(W.partitionBy("segment", "term").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("own")).alias("before"))
+    if (largest is not None and largest <= hot) or posted.where(F.col("df") > hot).isEmpty():
+        at = numbered.withColumn("place", place)
+    else:
+        at = numbered.withColumn("place", place).join(small_side(before), ["segment", "term", "chunk"], "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0)))
+    grouped = at.withColumn("block_no", F.floor((F.col("place") - 1) / size).cast("int")).groupBy("segment", "term", "block_no")
+    out = grouped.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("max_doc_id"), F.greatest(F.max("impact"), F.lit(0.0).cast("float")).alias("max_impact"))
     return out.withColumn("bit_width", X.bit_width(F.col("max_doc_id") - F.col("first_doc")))
 
 
@@ -127,28 +160,67 @@ def top_k(scored: DataFrame, by: list[str], k: Column | int = None, most: int |
 def floors(ranked: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, floor): the score that a further document has to exceed: that of rank top_k in
     ranked(query_id, score, rank), or minus infinity where there are fewer."""
-    full = ranked.join(F.broadcast(queries.select("query_id", "top_k")), "query_id").where(F.col("rank") == F.col("top_k")).select("query_id", "score")  # a batch of queries
+    full = ranked.select("query_id", "score", "rank").join(F.broadcast(queries.select("query_id", "top_k")), "query_id").where(F.col("rank") == F.col("top_k")).select("query_id", "score")  # a batch of queries
     return queries.select("query_id").join(full, "query_id", "left").select("query_id", F.coalesce("score", F.lit(float("-inf"))).alias("floor"))
 
 
-def search_and(posted: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("query_id",), allowed: DataFrame | None = None, k: int | None = None) -> DataFrame:
+def search_and(posted: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("query_id",), k: int | None = None) -> DataFrame:
     """(*by, doc_id, score, rank): the documents that hold every term of queries(query_id, lexical_terms,
     top_k), scored by the single-precision sum of impacts in the order of the terms. A term given twice
-    counts twice. allowed(query_id, doc_id): what each query may see, if not everything.
+    counts twice.
+
+    If queries has tokens, a document must also hold the access term of one of them: posted has these like any
+    other term, and they meet the others of the document in the one shuffle there is.
 
     by: ("query_id",) or ("query_id", "segment") for a list of each segment. k: overrides top_k.
     """
     asked = queries.select("query_id", "top_k", F.size("lexical_terms").alias("n_terms"), F.posexplode("lexical_terms").alias("pos", "term"))
+    readable = F.lit(True)
+    if "tokens" in queries.columns:
+        grants = queries.select("query_id", "top_k", F.size("lexical_terms").alias("n_terms"), F.explode(F.array_distinct(X.acl_terms(F.col("tokens")))).alias("term"))
+        asked = asked.unionByName(grants.withColumn("pos", F.lit(-1)))
+        readable = F.col("grants") > 0
     hits = posted.join(F.broadcast(asked), "term")  # a batch of queries: a few terms each
-    hits = hits.groupBy("query_id", "top_k", "n_terms", "segment", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "impact"))).alias("hit"))
-    hits = hits.where(F.size("hit") == F.col("n_terms"))
-    if allowed is not None:
-        hits = hits.join(allowed, ["query_id", "doc_id"], "left_semi")
+    word = F.when(F.col("pos") >= 0, F.struct("pos", "impact"))
+    hits = hits.groupBy("query_id", "top_k", "n_terms", "segment", "doc_id").agg(F.array_sort(F.collect_list(word)).alias("hit"), F.count(F.when(F.col("pos") < 0, 1)).alias("grants"))
+    hits = hits.where((F.size("hit") == F.col("n_terms")) & readable)
     scored = hits.select("query_id", "top_k", "segment", "doc_id", X.float_sum(F.col("hit.impact")).cast("double").alias("score"))
     best = top_k(scored, list(by), F.col("top_k"), most_wanted(queries)) if k is None else top_k(scored, list(by), k)
     return best.select(*by, "doc_id", "score", "rank")
 
 
+RANGE_IDS = 1 << 10  # ids of a range that is read or passed over as a whole
+
+
+def search_pruned(posted: DataFrame, posted_blocks: DataFrame, queries: DataFrame, range_ids: int = RANGE_IDS) -> DataFrame:
+    """search_and by ("query_id",), reading only what the blocks leave open.
+
+    The blocks tell the most that a document of each range of ids can score for each query. The most promising
+    ranges, as many as hold top_k entries of the query's rarest term, are scored first; the score at top_k is a floor,
+    and only ranges that can reach it (a tie counts: the lesser id wins) are read besides."""
+    asked = queries.select("query_id", "top_k", F.size("lexical_terms").alias("n_terms"), F.posexplode("lexical_terms").alias("pos", "term"))
+    ranges = posted_blocks.join(F.broadcast(asked), "term")  # a batch of queries
+    ranges = ranges.select("query_id", "top_k", "n_terms", "segment", "pos", "max_impact", "n", F.explode(F.sequence(F.floor(F.col("first_doc") / range_ids), F.floor(F.col("max_doc_id") / range_ids))).alias("range"))
+    ranges = ranges.groupBy("query_id", "top_k", "n_terms", "segment", "range", "pos").agg(F.max("max_impact").alias("most"), F.sum("n").alias("n"))
+    # single precision may round a sum of impacts up, but never beyond that of the bounds, added in the same order
+    bounds = ranges.groupBy("query_id", "top_k", "n_terms", "segment", "range").agg(F.array_sort(F.collect_list(F.struct("pos", "most"))).alias("terms"), F.min("n").alias("n"))
+    bounds = bounds.where(F.size("terms") == F.col("n_terms")).withColumn("most", X.float_sum(F.col("terms.most")).cast("double")).select("query_id", "top_k", "segment", "range", "most", "n")
+    w = W.partitionBy("query_id").orderBy(F.desc("most"), "segment", "range")
+    first = bounds.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most_wanted(queries)).drop("place")  # each has an entry at least
+    first = first.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("upto") - F.col("n") < F.col("top_k"))
+
+    def read(ranges: DataFrame) -> DataFrame:
+        own = posted.withColumn("range", F.floor(F.col("doc_id") / range_ids))
+        hits = own.join(F.broadcast(asked), "term").join(small_side(ranges.select("query_id", "segment", "range")), ["query_id", "segment", "range"], "left_semi")
+        hits = hits.groupBy("query_id", "top_k", "n_terms", "segment", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "impact"))).alias("hit")).where(F.size("hit") == F.col("n_terms"))
+        return hits.select("query_id", "top_k", "segment", "doc_id", X.float_sum(F.col("hit.impact")).cast("double").alias("score"))
+
+    most = most_wanted(queries)
+    floor = floors(top_k(read(first), ["query_id"], F.col("top_k"), most), queries)
+    left = bounds.join(F.broadcast(floor), "query_id").where(F.col("most") >= F.col("floor"))  # a row a query
+    return top_k(read(left), ["query_id"], F.col("top_k"), most).select("query_id", "doc_id", "score", "rank")
+
+
 def check_queries(lexical_terms: list[list[str]], top_ks: list[int]) -> None:
     """Raise for a query without terms, with an empty term, or that asks for no result."""
     for terms, k in zip(lexical_terms, top_ks, strict=True):

@@ -21,12 +21,14 @@ CUTS = 63  # approximate quantiles between which a histogram's samples are ranke
 
 
 def percentiles(samples: DataFrame, ps: list[float]) -> DataFrame:
-    """(name, p, value): the sample at position floor(p * (n - 1)) of the sorted samples(name, value).
+    """(name, p, value): the sample at position floor(p * (n - 1)) of the sorted samples(name, value). A row
+    without a value makes its histogram known; one without samples is 0 at every p.
 
     Approximate quantiles split each histogram into ranges, the exact counts of the ranges tell which one
     holds a position, and samples are ranked within their range only."""
     if any(not 0 <= p <= 1 for p in ps):
         raise ValueError("p must lie between 0 and 1")
+    known = samples.select("name").distinct().select("name", F.explode(F.array(*map(F.lit, ps))).alias("p"))
     samples = samples.where("value is not null").select("name", F.col("value").cast("double").alias("value"))
     cuts = samples.groupBy("name").agg(F.percentile_approx("value", [(i + 1) / (CUTS + 1) for i in range(CUTS)], 1000).alias("cuts"))
     ranged = samples.join(cuts, "name").select("name", "value", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("range"))
@@ -37,9 +39,10 @@ def percentiles(samples: DataFrame, ps: list[float]) -> DataFrame:
     asked = asked.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select("name", "range", "p", (F.col("at") - F.col("upto") + F.col("n") + 1).alias("rank"))
     wanted = ranged.join(asked.select("name", "range").distinct(), ["name", "range"], "left_semi")
     ranked = wanted.withColumn("rank", F.row_number().over(W.partitionBy("name", "range").orderBy("value")).cast("bigint"))
-    return ranked.join(asked, ["name", "range", "rank"]).select("name", "p", "value")
+    found = ranked.join(asked, ["name", "range", "rank"]).select("name", "p", "value")
+    return known.join(found, ["name", "p"], "left").select("name", "p", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def histogram_counts(samples: DataFrame) -> DataFrame:
-    """(name, n): the samples of each histogram."""
-    return samples.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    """(name, n): the samples of each histogram; 0 for one that has rows without a value only."""
+    return samples.groupBy("name").agg(F.count("value").alias("n"))

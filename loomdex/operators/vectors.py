@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomdex.functions import expressions as X
 from loomdex.operators.lexical import most_wanted, top_k
 
 M, K = 8, 16
@@ -22,23 +24,30 @@ def check_shape(dim: int, m: int, k: int) -> None:
 
 
 def codebook(vectors: DataFrame, m: int = M, k: int = K) -> DataFrame:
-    """(m, k, centroid): for part m, centroid k, the part of one training vector of vectors(vec_id,
-    embedding), taken by position so that a codebook can be made again from the same table. Ids are
-    dense from 0."""
-    n = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    """(m, k, centroid): for part m, centroid k, the part of one training vector of vectors(vec_id, embedding): those of
+    the k ids that come first in an order by a hash of the id and m, so that a codebook can be made again from the same
+    table, whatever its ids. Rows without an id or a vector do not train; of rows that repeat an id one does."""
+    rows = vectors.where("vec_id is not null and embedding is not null")
+    n = rows.agg(F.count_distinct("vec_id").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("dim")).first()
     if n["n"] < k:
         raise ValueError("there are fewer training vectors than centroids")
+    if n["least"] != n["dim"]:
+        raise ValueError("training vectors differ in length")
     check_shape(n["dim"], m, k)
     part = n["dim"] // m
-    pick = vectors.sparkSession.range(m * k).select((F.col("id") / k).cast("int").alias("m"), (F.col("id") % k).cast("int").alias("k"))
-    pick = pick.withColumn("vec_id", ((F.col("k") * 7 + F.col("m") * 13) % n["n"]).cast("bigint"))
-    return vectors.join(F.broadcast(pick), "vec_id").select("m", "k", F.slice("embedding", F.col("m") * part + 1, part).alias("centroid"))
+    ids = rows.select("vec_id").distinct().select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("m"))
+    order = W.partitionBy("m").orderBy(X.fmix32(F.col("vec_id") * m + F.col("m")), "vec_id")
+    pick = ids.withColumn("k", F.row_number().over(order) - 1).where(F.col("k") < k)
+    book = rows.join(F.broadcast(pick), "vec_id").select("m", "k", F.slice("embedding", F.col("m") * part + 1, part).alias("centroid"))  # m * k rows
+    return book.groupBy("m", "k").agg(F.min("centroid").alias("centroid"))
 
 
 def collect_codebook(book: DataFrame) -> np.ndarray:
     """The (m, k, part) array of a codebook; its size does not depend on the data."""
     rows = book.orderBy("m", "k").collect()
-    m, k = max(r["m"] for r in rows) + 1, max(r["k"] for r in rows) + 1
+    m, k = (max((r[c] for r in rows), default=-1) + 1 for c in ("m", "k"))
+    if not rows or [(r["m"], r["k"]) for r in rows] != [(i, j) for i in range(m) for j in range(k)] or len({len(r["centroid"]) for r in rows}) != 1:
+        raise ValueError("a codebook needs each centroid of each part once, all of one length")
     return np.array([r["centroid"] for r in rows], np.float32).reshape(m, k, -1)
 
 
@@ -91,11 +100,17 @@ def adc(lut: Column, code: Column, m: int = M, k: int = K) -> Column:
     return out
 
 
-def search(codes: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("query_id",), allowed: DataFrame | None = None, k: int | None = None, m: int = M, n_centroids: int = K) -> DataFrame:
+def search(codes: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("query_id",), k: int | None = None, m: int = M, n_centroids: int = K) -> DataFrame:
     """(*by, doc_id, score, rank): the nearest of codes(segment, doc_id, code) to each of queries(query_id,
-    lut, top_k), by exact scan; the score is the negated distance. allowed: as in search_and, each pair once."""
-    tables = F.broadcast(queries.select("query_id", "lut", "top_k"))  # a batch of queries
-    pairs = codes.crossJoin(tables) if allowed is None else codes.join(allowed, "doc_id").join(tables, "query_id")
+    lut, top_k), by exact scan; the score is the negated distance.
+
+    If queries has tokens, each reads only the codes of which acl_tokens, an array beside the code, has one of them:
+    that is settled where the code lies, and nothing is shuffled but the best of each task."""
+    batch = F.broadcast(queries.select("query_id", "lut", "top_k", *(["tokens"] if "tokens" in queries.columns else [])))  # a batch of queries
+    if "tokens" in queries.columns:
+        pairs = codes.join(batch, F.arrays_overlap("acl_tokens", "tokens"))
+    else:
+        pairs = codes.crossJoin(batch)
     scored = pairs.select("query_id", "segment", "doc_id", "top_k", (-adc(F.col("lut"), F.col("code"), m, n_centroids)).cast("double").alias("score"))
     best = top_k(scored, list(by), F.col("top_k"), most_wanted(queries)) if k is None else top_k(scored, list(by), k)
     return best.select(*by, "doc_id", "score", "rank")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomdex.operators.segments import MERGE_FACTOR
-from loomdex.plans.settings import FLUSH_AT, MERGE_RATIO, SEEKS, SHARDS
+from loomdex.plans.settings import FLUSH_AT, FOREIGN, MERGE_RATIO, SEEKS, SHARDS
 from loomdex.sources.corpus import QUERIES
 
 M, K, PART = 8, 16, 8
@@ -25,8 +25,8 @@ _MIX = (
 )
 
 
-def _routed(table: str, n: int) -> str:
-    return f"routed AS (SELECT doc_id, shard::INT AS shard FROM (SELECT doc_id, {_MIX.format(id='doc_id', n=n)} FROM {table}))"
+def _routed(table: str, n: int, name: str = "routed") -> str:
+    return f"{name} AS (SELECT doc_id, shard::INT AS shard FROM (SELECT doc_id, {_MIX.format(id='doc_id', n=n)} FROM {table}))"
 
 
 _TEXTS = f"docs AS (SELECT 0 AS segment, doc_id, {_TERMS} AS terms FROM documents)"
@@ -57,7 +57,7 @@ def _words(by: str, limit: str, allowed: bool) -> str:
 
 _DISTANCE = " + ".join(f"(v[m * {PART} + {j}] - c[{j}])::DOUBLE * (v[m * {PART} + {j}] - c[{j}])::DOUBLE" for j in range(1, PART + 1))
 _BOOK = (
-    f"pick AS (SELECT (i // {K})::INT AS m, (i % {K})::INT AS k, ((i % {K}) * 7 + (i // {K}) * 13) % (SELECT count(*) FROM embeddings) AS vec_id FROM range({M * K}) r(i)), "
+    f"pick AS (SELECT m::INT AS m, k::INT AS k, vec_id FROM (SELECT m, vec_id, row_number() OVER (PARTITION BY m ORDER BY h5, vec_id) - 1 AS k FROM (SELECT m, vec_id, {_MIX.format(id=f'(vec_id * {M} + m)', n=1)} FROM embeddings, range({M}) r(m))) WHERE k < {K}), "
     f"book AS (SELECT m, k, embedding[m * {PART} + 1 : m * {PART} + {PART}] AS c FROM pick JOIN embeddings USING (vec_id))"
 )
 _LUT = f"lut AS (SELECT query_id, m, k, ({_DISTANCE})::FLOAT AS d FROM (SELECT query_id, embedding AS v FROM asked JOIN embeddings ON vec_id = query_id) CROSS JOIN book)"
@@ -142,13 +142,35 @@ _SEGMENTS = (
     _DEAD, _routed("documents", SHARDS), "numbered AS (SELECT doc_id, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id)::INT AS seq FROM routed)",
     f"assigned AS (SELECT *, ((seq - 1) // {FLUSH_AT})::INT AS segment_no FROM numbered)",
 )
-_SEGMENT_STATS = "segs AS (SELECT shard, segment_no, count(*) AS n_docs, count(dead.doc_id) AS n_tombstones, count(dead.doc_id)::DOUBLE / count(*) AS tombstone_ratio, count(*) - count(dead.doc_id) AS live_docs FROM assigned LEFT JOIN dead USING (doc_id) GROUP BY ALL)"
+def _marked(ids: str, assigned: str) -> str:
+    """placed_marks(shard, segment_no, doc_id): ids, a query, in the segment of assigned(shard, segment_no, doc_id) that holds each or the shard's last."""
+    return (
+        f"marks AS ({ids}), {_routed('marks', SHARDS, 'marks_routed')}, last AS (SELECT shard, max(segment_no) AS last FROM {assigned} GROUP BY shard), "
+        f"placed_marks AS (SELECT DISTINCT r.shard, coalesce(a.segment_no, last) AS segment_no, r.doc_id FROM marks_routed r JOIN last USING (shard) LEFT JOIN {assigned} a USING (doc_id))"
+    )
+
+
+def _stats(assigned: str) -> str:
+    """segs: tombstones count whether the segment holds their ids or not; live documents are those that it was built with."""
+    return (
+        f"sizes AS (SELECT shard, segment_no, count(*) AS n_docs FROM {assigned} GROUP BY ALL), tombs AS (SELECT shard, segment_no, count(*) AS n FROM placed_marks GROUP BY ALL), "
+        "segs AS (SELECT shard, segment_no, n_docs, coalesce(n, 0) AS n_tombstones, coalesce(n, 0)::DOUBLE / n_docs AS tombstone_ratio, n_docs AS live_docs FROM sizes LEFT JOIN tombs USING (shard, segment_no))"
+    )
+
+
+_SEGMENT_STATS = _marked(f"SELECT doc_id FROM dead UNION SELECT doc_id + {FOREIGN} FROM dead", "assigned") + ", " + _stats("assigned")
 _PICKED = (
     f"marked AS (SELECT *, min(CASE WHEN tombstone_ratio >= {MERGE_RATIO} THEN segment_no END) OVER (PARTITION BY shard) AS forced, count(*) OVER (PARTITION BY shard) AS n FROM segs), "
     "ordered AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY CASE WHEN segment_no = forced THEN 0 ELSE 1 END, live_docs, segment_no)::INT AS pick FROM marked), "
     f"picked AS (SELECT * FROM ordered WHERE pick <= {MERGE_FACTOR} AND (forced IS NOT NULL OR n >= {MERGE_FACTOR}))"
 )
 
+_MERGED = (
+    f"WITH based AS (SELECT doc_id, shard, ((row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1) // {FLUSH_AT})::INT AS segment_no FROM routed), "
+    + _marked("SELECT doc_id FROM dead", "based") + ", " + _stats("based") + ", " + _PICKED
+    + " SELECT doc_id, CASE WHEN pick IS NULL THEN shard * 1000000 + segment_no ELSE shard * 1000000 + 500000 END AS segment FROM based LEFT JOIN picked USING (shard, segment_no) WHERE pick IS NULL OR doc_id NOT IN (SELECT doc_id FROM dead)"
+)
+
 _SETS = ("a AS (SELECT doc_id FROM documents WHERE lang = 'en')", "b AS (SELECT doc_id FROM labels WHERE toxic = 1)")
 _PS = "0.0, 0.5, 0.9, 0.99, 1.0"
 _HITS = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM "
@@ -164,6 +186,7 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_impacts": _with(_TEXTS, _POSTINGS, select="SELECT term, doc_id, tf, doc_len, round(impact::DOUBLE, 6) AS impact FROM posted"),
     "posting_blocks": _with(*_BLOCKS, select="SELECT segment, term, block_no, n, first_doc, max_doc_id, round(max_impact::DOUBLE, 6) AS max_impact, CASE WHEN max_doc_id = first_doc THEN 1 ELSE length(bin(max_doc_id - first_doc)) END::INT AS bit_width FROM blocks"),
     "posting_sizes": _with(*_BLOCKS, select="SELECT segment, term, count(*) AS blocks, sum(n)::BIGINT AS size FROM blocks GROUP BY segment, term"),
+    "bm25_block_pruned": _with(_TEXTS, _ASKED, _POSTINGS, _words("query_id", "top_k", False), select=_HITS + "lexical"),
     "topk_floor": _with(
         _TEXTS, _ASKED, _POSTINGS, _words("query_id", "top_k", False),
         select="SELECT a.query_id, coalesce(round(max(score) FILTER (WHERE rank = top_k), 6), '-inf'::DOUBLE) AS floor FROM asked a LEFT JOIN lexical l ON l.query_id = a.query_id GROUP BY a.query_id",
@@ -198,6 +221,8 @@ ORACLE_SQL: dict[str, str] = {
     "shard_route": _with(_routed("documents", 8), select="SELECT doc_id, shard FROM routed"),
     "shard_search": _with(*_sharded(_BY_SHARD), select="SELECT query_id, segment, doc_id, round(score, 6) AS score, rank FROM found"),
     "cluster_search": _cluster(_BY_SHARD),
+    "deadline_search": _cluster(_BY_SHARD),
+    "stream_lifecycle": _cluster(_MERGED),
     "stored_search": _cluster(_BY_FLUSH),
     "latest_segment_search": _cluster(_LATEST),
     "segment_assignment": _with(*_SEGMENTS, select="SELECT doc_id, shard, seq, segment_no FROM assigned"),
@@ -216,6 +241,10 @@ ORACLE_SQL: dict[str, str] = {
         "WITH s AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) "
         f"SELECT name, p::DOUBLE AS p, round(value, 6) AS value FROM s, unnest([{_PS}]) AS t(p) WHERE place = floor(p::DOUBLE * (n - 1))"
     ),
-    "metrics_histogram_counts": "SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1",
+    "metrics_histogram_counts": "SELECT event_type AS name, count(value) AS n FROM events GROUP BY 1",
+    "commit_stream": _with(
+        _routed("documents", SHARDS), "halves AS (SELECT shard, count(*) FILTER (doc_id % 2 = 0) AS e, count(*) FILTER (doc_id % 2 = 1) AS o FROM routed GROUP BY shard)",
+        select=f"SELECT shard, e + o AS accepted, (e + {FLUSH_AT - 1}) // {FLUSH_AT} + o // {FLUSH_AT} AS segments, o % {FLUSH_AT} AS pending FROM halves",
+    ),
     "ingest_stream": _with(_routed("documents", SHARDS), select=f"SELECT shard, count(*) AS accepted, count(*) // {FLUSH_AT} AS segments, count(*) % {FLUSH_AT} AS pending FROM routed GROUP BY shard"),
 }

@@ -12,7 +12,7 @@ from loomdex.functions import expressions as X
 from loomdex.operators import fusion, lexical, metrics, segments, sets, vectors
 from loomdex.plans import search
 from loomdex.plans.oracles import ORACLE_SQL
-from loomdex.plans.settings import FLUSH_AT, MERGE_RATIO, SEEKS, SHARDS
+from loomdex.plans.settings import DEADLINE_S, FLUSH_AT, FOREIGN, MERGE_RATIO, SEEKS, SHARDS
 from loomdex.sources import corpus
 from loomdex.sources.index import StoredIndex
 from loomdex.sources.storage import work_path
@@ -21,7 +21,6 @@ from loomdex.streaming import ingest
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
-
 def _round(c: str | Column) -> Column:
     return F.round(c, 6)
 
@@ -63,7 +62,7 @@ def bm25_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.texts(spark, sf_dir).select(X.shard_of(F.col("doc_id"), SHARDS).alias("segment"), "doc_id", "terms")
-    return lexical.blocks(lexical.postings(docs))
+    return lexical.blocks(lexical.postings(docs), largest=docs.count())
 
 
 def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +73,17 @@ def posting_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.total_size(_blocks(spark, sf_dir))
 
 
+def bm25_block_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_and_topk, reading of the stored postings only what their blocks leave open."""
+    path = work_path(spark, "pruned")
+    docs = corpus.texts(spark, sf_dir)
+    lexical.postings(docs, sorted({t for q in corpus.QUERIES for t in q[1]})).sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    posted = spark.read.parquet(f"{path}/postings")
+    lexical.blocks(posted).write.parquet(f"{path}/blocks")
+    found = lexical.search_pruned(posted, spark.read.parquet(f"{path}/blocks"), corpus.queries(spark, sf_dir))
+    return found.select("query_id", "doc_id", _round("score").alias("score"), "rank")
+
+
 def topk_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.floors(bm25_and_topk(spark, sf_dir), corpus.queries(spark, sf_dir))
 
@@ -99,9 +109,9 @@ def acl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def acl_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, asked = corpus.indexed(corpus.events(spark, sf_dir), F.lit(0)), corpus.queries(spark, sf_dir)
-    posted = lexical.postings(index, sorted({t for q in corpus.QUERIES for t in q[1]}))
-    return lexical.search_and(posted, asked, allowed=sets.readable(index, asked)).select("query_id", "doc_id", _round("score").alias("score"), "rank")
+    posted = lexical.postings(corpus.indexed(corpus.events(spark, sf_dir), F.lit(0)), corpus.wanted())
+    found = lexical.search_and(posted, corpus.readers(corpus.queries(spark, sf_dir)))
+    return found.select("query_id", "doc_id", _round("score").alias("score"), "rank")
 
 
 def _two_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -182,9 +192,10 @@ def adc_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adc_topk_acl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book, asked = _book(spark, sf_dir), corpus.queries(spark, sf_dir)
-    allowed = sets.readable(corpus.indexed(corpus.events(spark, sf_dir), F.lit(0)), asked)
-    return vectors.search(_codes(spark, sf_dir, book), _tables(spark, sf_dir, book), allowed=allowed).select("query_id", "doc_id", _round("score").alias("score"), "rank")
+    book = _book(spark, sf_dir)
+    codes = corpus.events(spark, sf_dir).select(F.lit(0).alias("segment"), "doc_id", vectors.encode(F.col("embedding"), book).alias("code"), "acl_tokens")
+    asked = corpus.readers(_tables(spark, sf_dir, book))
+    return vectors.search(codes, asked).select("query_id", "doc_id", _round("score").alias("score"), "rank")
 
 
 def _channels(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -216,11 +227,19 @@ def cluster_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cluster_search(*_search_input(spark, sf_dir)).withColumn("score", _round("score"))
 
 
+def deadline_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cluster_search with a job for each shard and a deadline that all of them meet."""
+    rows, partial = search.search_with_deadline(spark, *_search_input(spark, sf_dir), DEADLINE_S)
+    found = spark.createDataFrame([(*r, partial) for r in rows], "query_id int, doc_id bigint, score double, rank int, partial boolean")
+    return found.withColumn("score", _round("score"))
+
+
 def _stored(spark: SparkSession, sf_dir: str, visibility: str) -> DataFrame:
     docs, asked, deleted, book = _search_input(spark, sf_dir)
-    index = StoredIndex(spark, work_path(spark, "index"), book)
+    index = StoredIndex(spark, work_path(spark, "index"), book, SHARDS)
     index.flush(search.segment_documents(docs, SHARDS, FLUSH_AT))
-    return search.stored_search(index, asked, deleted, visibility).withColumn("score", _round("score"))
+    index.delete(deleted)
+    return search.stored_search(index, asked, visibility).withColumn("score", _round("score"))
 
 
 def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +255,10 @@ def segment_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.stats(segment_assignment(spark, sf_dir), corpus.tombstones(spark, sf_dir), ["shard", "segment_no"])
+    """Of the documents' segments; besides toxic documents, as many ids are deleted that no segment holds."""
+    docs, toxic = segment_assignment(spark, sf_dir), corpus.tombstones(spark, sf_dir)
+    deleted = toxic.union(toxic.select(F.col("doc_id") + FOREIGN))
+    return segments.stats(docs, segments.placed_tombstones(docs, deleted, SHARDS), ["shard", "segment_no"])
 
 
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +313,21 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.status_of_stream(spark, sf_dir, work_path(spark, "ingest"), SHARDS, FLUSH_AT)
 
 
+def commit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.status_after_commit(spark, sf_dir, work_path(spark, "commit"), SHARDS, FLUSH_AT)
+
+
+def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events are streamed into an index, committed, deleted and merged, and searched then."""
+    path, asked = work_path(spark, "cluster"), corpus.queries(spark, sf_dir)
+    cluster = ingest.SearchCluster(spark, path, _book(spark, sf_dir), SHARDS, FLUSH_AT)
+    cluster.run(corpus.events_of(ingest.parquet_stream(spark, sf_dir, "documents"), corpus.table(spark, sf_dir, "embeddings")), f"{path}/checkpoint")
+    cluster.commit_all()
+    cluster.tombstone(corpus.tombstones(spark, sf_dir))
+    cluster.merge(MERGE_RATIO)
+    return cluster.search(asked).withColumn("score", _round("score"))
+
+
 def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate search by a graph of each segment: no SQL; tests compare it with the exact scan."""
     docs = search.segment_documents(corpus.events(spark, sf_dir), SHARDS, 512)
@@ -303,10 +340,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bm25_and_topk, term_frequency, doc_stats, term_stats, index_stats, term_dictionary, term_prefix, bm25_impacts, posting_blocks,
-        posting_sizes, topk_floor, contributing_blocks, posting_seek, posting_past_block, acl_filter, acl_bm25, bitset_or, bitset_and, bitset_andnot, bitset_add, bitset_ascending, bitset_contains,
+        posting_sizes, bm25_block_pruned, topk_floor, contributing_blocks, posting_seek, posting_past_block, acl_filter, acl_bm25, bitset_or, bitset_and, bitset_andnot, bitset_add, bitset_ascending, bitset_contains,
         bitset_chunks, bitset_cardinality, tombstone_live, forward_fetch, pq_codebook, pq_encode, adc_lut, adc_topk, adc_topk_acl, rrf_fuse,
-        maxsim_rerank, shard_route, shard_search, cluster_search, stored_search, latest_segment_search, segment_assignment, segment_stats, tombstone_ratio, live_segment_count,
+        maxsim_rerank, shard_route, shard_search, cluster_search, deadline_search, stored_search, latest_segment_search, segment_assignment, segment_stats, tombstone_ratio, live_segment_count,
         merge_pick, merge_compact, tier_classify, metrics_counters, metrics_gauges, metrics_percentiles, metrics_histogram_counts,
-        ingest_stream, graph_search,
+        ingest_stream, commit_stream, stream_lifecycle, graph_search,
     )
 }

@@ -13,48 +13,53 @@ from loomdex.sources.index import StoredIndex
 
 
 def wanted_terms(queries: DataFrame) -> list[str]:
-    """The distinct terms of a batch of queries, which are checked."""
-    asked = queries.select("lexical_terms", "top_k").collect()  # a batch of queries
+    """The distinct terms that a batch of queries, which are checked, reads: its own, and its readers' access terms."""
+    asked = queries.select("lexical_terms", "top_k", X.acl_terms(X.principal_tokens(F.col("user_id"), F.col("acl_tokens"))).alias("grants")).collect()  # a batch of queries
     lexical.check_queries([r["lexical_terms"] for r in asked], [r["top_k"] for r in asked])
-    return sorted({t for r in asked for t in r["lexical_terms"]})
+    return sorted({t for r in asked for t in [*r["lexical_terms"], *r["grants"]]})
 
 
-def search_tables(posted: DataFrame, codes: DataFrame, tokens: DataFrame, allowed: DataFrame, queries: DataFrame, deleted: DataFrame, book, first_stage: int = FIRST_STAGE) -> DataFrame:
+def search_tables(posted: DataFrame, codes: DataFrame, tokens: DataFrame, queries: DataFrame, book, first_stage: int = FIRST_STAGE) -> DataFrame:
     """(query_id, segment, doc_id, score, rank) for every query and segment of an index: the best of
     conjunctive BM25 and of the vectors among what the query may read, fused, cut, reranked by late
-    interaction, cut at top_k, and only then without deleted documents, which are not replaced. rank
-    counts what is left."""
+    interaction, cut at top_k. posted has the access terms too, codes have acl_tokens."""
     by = ("query_id", "segment")
-    words = lexical.search_and(posted, queries, by, allowed, first_stage)
-    tables = queries.select("query_id", "top_k", vectors.distance_table(F.col("dense_vector"), book).alias("lut"))
-    near = vectors.search(codes, tables, by, allowed, first_stage)
-    best = fusion.rerank(fusion.fuse([words, near], list(by), first_stage), queries, tokens, list(by))
-    return lexical.top_k(sets.live(best, deleted).drop("rank"), list(by))
+    asked = corpus.readers(queries)
+    words = lexical.search_and(posted, asked, by, first_stage)
+    tables = asked.select("query_id", "top_k", "tokens", vectors.distance_table(F.col("dense_vector"), book).alias("lut"))
+    near = vectors.search(codes, tables, by, first_stage)
+    return fusion.rerank(fusion.fuse([words, near], list(by), first_stage), queries, tokens, list(by))
+
+
+def numbered(best: DataFrame) -> DataFrame:
+    """best(query_id, segment, doc_id, score) with ranks that count what is left of it. Documents that were deleted
+    after the cut are not replaced."""
+    return lexical.top_k(best.drop("rank"), ["query_id", "segment"])
 
 
 def merged(found: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score, rank, partial): lists of segments, each a channel of rank fusion, so that the
-    best of every segment come first; cut at top_k."""
-    scored = found.join(F.broadcast(queries.select("query_id", "top_k")), "query_id").withColumn("score", X.rrf(F.array("rank")))
-    return lexical.top_k(scored.select("query_id", "top_k", "doc_id", "score"), ["query_id"], F.col("top_k")).select("query_id", "doc_id", "score", "rank", F.lit(False).alias("partial"))
+    best of every segment come first; cut at top_k. A document that several segments hold adds up."""
+    ranks = found.join(F.broadcast(queries.select("query_id", "top_k")), "query_id").groupBy("query_id", "top_k", "doc_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    scored = ranks.select("query_id", "top_k", "doc_id", X.rrf(F.col("ranks")).alias("score"))
+    return lexical.top_k(scored, ["query_id"], F.col("top_k")).select("query_id", "doc_id", "score", "rank", F.lit(False).alias("partial"))
 
 
 def shard_search(docs: DataFrame, queries: DataFrame, deleted: DataFrame, book, shards: int = SHARDS, first_stage: int = FIRST_STAGE) -> DataFrame:
-    """search_tables over document events, each shard a segment."""
+    """search_tables over document events, each shard a segment, without deleted documents."""
     own = X.shard_of(F.col("doc_id"), shards)
     index = corpus.indexed(docs, own)
-    codes = docs.select(own.alias("segment"), "doc_id", vectors.encode(F.col("embedding"), book).alias("code"))
-    return search_tables(lexical.postings(index, wanted_terms(queries)), codes, docs, sets.readable(index, queries), queries, deleted, book, first_stage)
+    codes = docs.select(own.alias("segment"), "doc_id", vectors.encode(F.col("embedding"), book).alias("code"), "acl_tokens")
+    best = search_tables(lexical.postings(index, wanted_terms(queries)), codes, docs, queries, book, first_stage)
+    return numbered(sets.live(best, deleted))
 
 
-def stored_search(index: StoredIndex, queries: DataFrame, deleted: DataFrame, visibility: str = "all", first_stage: int = FIRST_STAGE) -> DataFrame:
+def stored_search(index: StoredIndex, queries: DataFrame, visibility: str = "all", first_stage: int = FIRST_STAGE) -> DataFrame:
     """cluster_search over a stored index, each visible segment a channel. Only the postings of the queries'
     terms and of their access tokens are read."""
-    postings = index.visible("postings", visibility)
-    posted = postings.where(F.col("term").isin(wanted_terms(queries)))
-    allowed = sets.readable_postings(postings, queries)
-    found = search_tables(posted, index.visible("codes", visibility), index.visible("tokens", visibility), allowed, queries, deleted, index.book, first_stage)
-    return merged(found, queries)
+    posted = index.visible("postings", visibility).where(F.col("term").isin(wanted_terms(queries)))
+    best = search_tables(posted, index.visible("codes", visibility), index.visible("documents", visibility), queries, index.book, first_stage)
+    return merged(numbered(index.without_deleted(best, visibility)), queries)
 
 
 def cluster_search(docs: DataFrame, queries: DataFrame, deleted: DataFrame, book, shards: int = SHARDS, first_stage: int = FIRST_STAGE) -> DataFrame:
@@ -100,4 +105,4 @@ def search_with_deadline(spark, docs: DataFrame, queries: DataFrame, deleted: Da
 
 def segment_documents(docs: DataFrame, shards: int, flush_at: int) -> DataFrame:
     """docs with shard and segment_no, in the order of their ids."""
-    return segments.assign(docs, shards, flush_at, ["doc_id"])
+    return segments.assign(docs, shards, flush_at)

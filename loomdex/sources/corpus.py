@@ -20,7 +20,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document events: every document that has an embedding, with its access tokens, its vector and the
     four parts of it that late interaction compares."""
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    return events_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
+
+
+def events_of(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """events() of documents, a stream of them too."""
     rows = docs.join(vectors, docs["doc_id"] == vectors["vec_id"])
     acl = F.array(F.concat(F.lit("group_"), "source"), F.concat(F.lit("lang_"), "lang"), F.concat(F.lit("user_"), (F.col("doc_id") % 7).cast("string")))
     return rows.select("doc_id", X.terms(F.col("text")).alias("content_terms"), acl.alias("acl_tokens"), F.col("text").alias("payload"), "embedding", _parts(F.col("embedding")).alias("colbert_tokens"))
@@ -56,3 +60,14 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame(QUERIES, "query_id int, lexical_terms array<string>, user_id string, acl_tokens array<string>, top_k int")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vectors.join(F.broadcast(asked), F.col("vec_id") == F.col("query_id")).select("query_id", "lexical_terms", "user_id", "acl_tokens", "top_k", F.col("embedding").alias("dense_vector"), _parts(F.col("embedding")).alias("colbert_tokens"))
+
+
+def readers(asked: DataFrame) -> DataFrame:
+    """queries() with `tokens`, those of which a document must grant one to be read; with it searches filter by access."""
+    return asked.withColumn("tokens", X.principal_tokens(F.col("user_id"), F.col("acl_tokens")))
+
+
+def wanted(asked: list[tuple] = QUERIES) -> list[str]:
+    """The terms that a batch of queries reads: its own, and the access terms of its readers."""
+    terms = {t for _, terms, _, _, _ in asked for t in terms}
+    return sorted(terms | {X.ACL_PREFIX + t for _, _, user, tokens, _ in asked for t in [f"user_{user}", *tokens]})

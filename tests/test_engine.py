@@ -14,7 +14,7 @@ from loomdex.functions import expressions as X
 from loomdex.operators import fusion, lexical, metrics, segments, sets, vectors
 from loomdex.plans import search
 from loomdex.sources.index import StoredIndex, check_events
-from loomdex.streaming.ingest import StreamIndexer
+from loomdex.streaming.ingest import SearchCluster, StreamIndexer
 
 DOCS = "segment int, doc_id bigint, terms array<string>"
 ASKED = "query_id int, lexical_terms array<string>, top_k int"
@@ -24,10 +24,11 @@ def _docs(spark, terms: dict[int, list[str]]):
     return spark.createDataFrame([(0, d, t) for d, t in terms.items()], DOCS)
 
 
-def _search(spark, docs, terms, k=10, allowed=None):
+def _search(spark, docs, terms, k=10, tokens=None):
     asked = spark.createDataFrame([(1, terms, k)], ASKED)
-    seen = None if allowed is None else spark.createDataFrame([(1, d) for d in allowed], "query_id int, doc_id bigint")
-    return [(r["doc_id"], r["score"]) for r in lexical.search_and(lexical.postings(docs), asked, allowed=seen).orderBy("rank").collect()]
+    if tokens is not None:
+        asked = asked.withColumn("tokens", F.array(*map(F.lit, tokens)).cast("array<string>"))
+    return [(r["doc_id"], r["score"]) for r in lexical.search_and(lexical.postings(docs), asked).orderBy("rank").collect()]
 
 
 def _bm25(terms, query, k1=1.2, b=0.75):
@@ -67,9 +68,39 @@ def test_rare_term_among_many(spark):
 
 
 def test_access_comes_after_statistics(spark):
-    docs = _docs(spark, {d: ["cisco"] for d in range(3)})
-    every, some = _search(spark, docs, ["cisco"]), _search(spark, docs, ["cisco"], allowed=[0, 2])
+    docs = _docs(spark, {d: ["cisco", "_acl_read:all" if d == 1 else "_acl_read:some", "_acl_read:other"] for d in range(3)})
+    every, some = _search(spark, docs, ["cisco"]), _search(spark, docs, ["cisco"], tokens=["some", "nobody"])
     assert [d for d, _ in every] == [0, 1, 2] and some == [every[0], every[2]]
+    assert _search(spark, docs, ["cisco"], tokens=["some", "other"]) == every  # two grants are as good as one
+    assert _search(spark, docs, ["cisco"], tokens=[]) == _search(spark, docs, ["cisco"], tokens=["cisco"]) == []
+
+
+def test_bad_documents_are_refused(spark):
+    for bad in ([(0, -1, ["a"])], [(0, None, ["a"])], [(0, 1, ["a", ""])]):
+        with pytest.raises(Exception, match="a document needs"):
+            lexical.postings(spark.createDataFrame(bad, DOCS)).collect()
+
+
+def test_long_lists_are_numbered_in_chunks(spark, monkeypatch):
+    """Terms of more documents than one task should have give the same postings and blocks."""
+    docs = _docs(spark, {d * 7: ["hot", f"t{d % 5}", *(["twice"] * 2)] for d in range(700)})
+    posted, cut = (sorted(map(tuple, x.collect())) for x in (lexical.postings(docs), lexical.blocks(lexical.postings(docs))))
+    monkeypatch.setattr(lexical, "CHUNK_IDS", 500)
+    monkeypatch.setattr(lexical, "HOT", 100)
+    assert sorted(map(tuple, lexical.postings(docs).collect())) == posted
+    assert sorted(map(tuple, lexical.blocks(lexical.postings(docs), hot=100).collect())) == cut
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pruned_search(spark, seed):
+    """Reading only what the blocks leave open gives the same rows, ties and short lists among them."""
+    rng = random.Random(seed)
+    docs = _docs(spark, {d: [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 12))] for d in range(900)})
+    asked = spark.createDataFrame([(1, ["a"], 3), (2, ["a", "b"], 10), (3, ["c", "c", "d"], 5), (4, ["a", "nowhere"], 5), (5, ["h", "g", "f", "e"], 500)], ASKED)
+    posted = lexical.postings(docs)
+    want = sorted(map(tuple, lexical.search_and(posted, asked).collect()))
+    got = lexical.search_pruned(posted, lexical.blocks(posted, 16), asked, 32)
+    assert sorted(map(tuple, got.collect())) == want
 
 
 def test_statistics(spark):
@@ -163,6 +194,9 @@ def test_late_interaction(spark):
     got = {r["doc_id"]: (r["score"], r["rank"]) for r in fusion.rerank(hits, asked, tokens, ["query_id"]).collect()}
     assert got == {1: (2.0, 1), 4: (1.0, 2), 2: (0.0, 3), 3: (0.0, 4)}
     assert fusion.rerank(hits, asked.withColumn("top_k", F.lit(1)), tokens, ["query_id"]).count() == 1
+    other = spark.createDataFrame([(1, [[1.0, 0.0, 0.0]])], "doc_id bigint, colbert_tokens array<array<float>>")
+    with pytest.raises(Exception, match="differ in length"):
+        fusion.rerank(hits, asked, other, ["query_id"]).collect()
 
 
 @pytest.fixture(scope="module")
@@ -189,6 +223,18 @@ def test_product_quantisation(spark, embedded):
             vectors.check_shape(*bad)
     with pytest.raises(ValueError):
         vectors.codebook(rows.limit(3), 4, 8)
+    apart = vectors.collect_codebook(vectors.codebook(rows.selectExpr("vec_id * 10 + 3 as vec_id", "embedding"), 4, 8))  # ids need not be dense
+    parts = v.reshape(300, 4, 4)
+    for b in (book, apart):
+        assert b.shape == (4, 8, 4) and all(len({tuple(c) for c in b[j]}) == 8 and {tuple(c) for c in b[j]} <= {tuple(x) for x in parts[:, j]} for j in range(4))
+    uneven = rows.union(spark.createDataFrame([(999, [1.0])], rows.schema))
+    with pytest.raises(ValueError):
+        vectors.codebook(uneven, 4, 8)
+    with pytest.raises(ValueError):
+        vectors.collect_codebook(vectors.codebook(rows, 4, 8).where("m <> 1 or k <> 3"))
+    some = coded.withColumn("acl_tokens", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("z"))))
+    seen = [r["doc_id"] for r in vectors.search(some, lut.withColumn("tokens", F.array(F.lit("x"), F.lit("y"))), m=4, n_centroids=8).orderBy("rank").collect()]
+    assert seen == [i for i in sorted(range(300), key=lambda i: (dist[i], i)) if i % 3 == 0][:5]
     with pytest.raises(Exception, match="vectors must have 16 elements"):
         spark.createDataFrame([([1.0, 2.0],)], "e array<float>").select(vectors.encode(F.col("e"), book)).collect()
 
@@ -245,14 +291,24 @@ def test_merge_selection(spark):
             pick([(1, 0)], *bad)
 
 
-def test_segments(spark):
-    docs = segments.assign(spark.range(20).withColumnRenamed("id", "doc_id"), 1, 10, ["doc_id"])
+def test_segments(spark, monkeypatch):
+    ids = spark.range(20).withColumnRenamed("id", "doc_id")
+    docs = segments.assign(ids, 1, 10).drop("seq")
+    tombs = spark.createDataFrame([(0, 0), (0, 1), (0, 0), (0, 77), (1, 88)], "segment_no int, doc_id bigint")
+    built = spark.createDataFrame([(1, 15)], "segment_no int, doc_id bigint")
+    got = {r["segment_no"]: (r["n_docs"], r["n_tombstones"], r["tombstone_ratio"], r["live_docs"]) for r in segments.stats(docs, tombs, ["segment_no"], built).collect()}
+    assert got == {0: (10, 3, 0.3, 10), 1: (10, 1, 0.1, 9)}  # ids that a segment lacks count; what was live at the build stays
+    many = spark.createDataFrame([(0, 100 + i) for i in range(30)], "segment_no int, doc_id bigint")
+    assert segments.stats(docs, many, ["segment_no"]).where("segment_no = 0").first()["tombstone_ratio"] == 3.0
+    marks = segments.placed_tombstones(docs, spark.createDataFrame([(3,), (3,), (14,), (99,)], "doc_id bigint"), 1)
+    assert sorted(tuple(r) for r in marks.collect()) == [(0, 0, 3), (0, 1, 14), (0, 1, 99)]
     dead = spark.createDataFrame([(0,), (1,), (0,), (77,)], "doc_id bigint")
-    got = {r["segment_no"]: (r["n_docs"], r["n_tombstones"], r["tombstone_ratio"], r["live_docs"]) for r in segments.stats(docs, dead, ["segment_no"]).collect()}
-    assert got == {0: (10, 2, 0.2, 8), 1: (10, 0, 0.0, 10)}
     picked = spark.createDataFrame([(0, 0), (0, 1)], "shard int, segment_no int")
     out = segments.compact(docs.select("shard", "segment_no", "doc_id"), picked, dead, ["shard"], "segment_no").collect()
     assert {r["segment_no"] for r in out} == {0} and sorted(r["doc_id"] for r in out) == list(range(2, 20))
+    want = sorted(map(tuple, segments.assign(ids, 3, 4).collect()))
+    monkeypatch.setattr(segments, "CHUNK_IDS", 3)
+    assert sorted(map(tuple, segments.assign(ids, 3, 4).collect())) == want
 
 
 def test_tier(spark):
@@ -268,14 +324,14 @@ def test_metrics(spark):
     df = spark.createDataFrame([(n, v) for n, vs in samples.items() for v in vs] + [("none", None)], "name string, value double")
     ps = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
     got = {(r["name"], r["p"]): r["value"] for r in metrics.percentiles(df, ps).collect()}
-    assert got == {(n, p): sorted(vs)[math.floor(p * (len(vs) - 1))] for n, vs in samples.items() for p in ps}
+    assert got == {(n, p): sorted(vs)[math.floor(p * (len(vs) - 1))] for n, vs in samples.items() for p in ps} | {("none", p): 0.0 for p in ps}
     with pytest.raises(ValueError):
         metrics.percentiles(df, [1.5])
     deltas = spark.createDataFrame([("a", 1), ("a", None), ("a", 5), ("b", 2)], "name string, delta bigint")
     assert {r["name"]: r["value"] for r in metrics.counters(deltas).collect()} == {"a": 7, "b": 2}
     settings = spark.createDataFrame([("g", 1, 1), ("g", 9, 3), ("g", 4, 2)], "name string, value int, seq int")
     assert metrics.gauges(settings).first()["value"] == 9
-    assert {r["name"]: r["n"] for r in metrics.histogram_counts(df).collect()}["many"] == 2001
+    assert {r["name"]: r["n"] for r in metrics.histogram_counts(df).collect()} == {"one": 1, "many": 2001, "ties": 503, "none": 0}
 
 
 @pytest.fixture(scope="module")
@@ -329,21 +385,71 @@ def test_deadline(spark, cluster):
 def test_stored_index(spark, cluster, tmp_path):
     docs, asked, book = cluster
     none = spark.createDataFrame([], "doc_id bigint")
-    index = StoredIndex(spark, f"file://{tmp_path}/index", book)
+    index = StoredIndex(spark, f"file://{tmp_path}/index", book, 4)
+    with pytest.raises(ValueError):
+        index.visible("postings")
+    index.delete(spark.createDataFrame([(3,)], "doc_id bigint"))  # nothing is flushed yet
     placed = search.segment_documents(docs, 4, 1000)
     index.flush(placed)
     want = search.cluster_search(docs, asked, none, book)
-    assert sorted(search.stored_search(index, asked, none).collect()) == sorted(want.collect())
+    assert sorted(search.stored_search(index, asked).collect()) == sorted(want.collect())
     newer = docs.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") + 1000)
     index.flush(search.segment_documents(newer, 4, 1000).withColumn("segment_no", F.lit(1)))
-    every, latest = (_hits(search.stored_search(index, asked, none, v))[2] for v in ("all", "latest"))
+    every, latest = (_hits(search.stored_search(index, asked, v))[2] for v in ("all", "latest"))
     routed = {r["doc_id"]: r["s"] for r in docs.select("doc_id").union(newer.select("doc_id")).select("doc_id", X.shard_of(F.col("doc_id"), 4).alias("s")).collect()}
     replaced = {routed[d] for d in routed if d >= 1000}
     assert len(every) == 60 and set(latest) == {d for d in routed if d >= 1000 or routed[d] not in replaced}
     assert {r["payload"] for r in index.fetch(spark.createDataFrame([(3,)], "doc_id bigint")).collect()} == {"p3"}
     assert index.visible("blocks").agg(F.sum("n")).first()[0] == index.visible("postings").count()
     with pytest.raises(ValueError):
-        index.segments("other")
+        index.listed("other")
+
+
+def test_deletes_and_merges(spark, cluster, tmp_path):
+    """A delete hides a document up to its shard's last segment; a merge makes it so without the delete, and a document
+    that comes again is there again."""
+    docs, asked, book = cluster
+    asked = asked.where("query_id = 2").withColumn("top_k", F.lit(100))
+    index = StoredIndex(spark, f"file://{tmp_path}/index", book, 2)
+    index.flush(search.segment_documents(docs, 2, 8))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id bigint")
+    found = lambda: set(_hits(search.stored_search(index, asked)).get(2, []))
+    index.delete(ids(*range(0, 60, 2), 5000))  # 5000 is in no segment
+    odd = set(range(1, 60, 2))
+    assert found() == odd
+    stats = index.statistics().collect()
+    assert sum(r["n_tombstones"] for r in stats) == 31 and all(r["live_docs"] == r["n_docs"] for r in stats)
+    before, listed = index.listed().count(), {r["segment"] for r in index.listed().collect()}
+    assert index.merge() and index.listed().count() == before - 4  # three become one in both shards
+    merged = {r["segment"] for r in index.listed().collect()} - listed
+    assert {r["doc_id"] % 2 for r in index.visible("documents").collect() if r["segment"] in merged} == {1}
+    index.vacuum()
+    again = docs.where("doc_id = 4").withColumn("shard", X.shard_of(F.col("doc_id"), 2)).withColumn("segment_no", F.lit(90))
+    index.flush(again)
+    assert found() == odd | {4}
+
+
+def test_search_cluster(spark, cluster, tmp_path):
+    """Events are invisible until their segment is full or committed, and can be deleted then."""
+    docs, asked, book = cluster
+    asked = asked.where("query_id = 2").withColumn("top_k", F.lit(100))
+    all_ = SearchCluster(spark, f"file://{tmp_path}/cluster", book, 2, 1000)
+    found = lambda: _hits(all_.search(asked)).get(2, [])
+    all_.tombstone(docs.select("doc_id"))  # nothing is flushed yet, so nothing is deleted
+    all_.ingest(docs.where("doc_id < 40"), 0)
+    assert all_.live_segment_count() == 0
+    all_.commit_all()
+    assert all_.live_segment_count() == 2
+    all_.ingest(docs.where("doc_id >= 40"), 1)
+    all_.tombstone(docs.where("doc_id % 2 = 0").select("doc_id"))
+    assert sorted(found()) == list(range(1, 40, 2))
+    all_.commit_all()
+    all_.commit_all()  # nothing more to close
+    assert sorted(found()) == [d for d in range(60) if d % 2 or d >= 40]  # what was pending is not deleted
+    assert all_.index.listed().count() == 4
+    all_.indexer.seal()
+    with pytest.raises(ValueError, match="sealed"):
+        all_.ingest(docs.limit(1), 2)
 
 
 def test_bad_events(spark, cluster):
@@ -376,9 +482,15 @@ def test_streaming_ingest(spark, tmp_path):
     assert status() == (4, 1, 1)
     assert sorted(r["doc_id"] for r in indexer.visible().collect()) == [1, 2, 3]
     indexer.commit_all()
-    assert sorted(r["doc_id"] for r in indexer.visible().collect()) == [1, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in indexer.visible().collect()) == [1, 2, 3, 4] and status() == (4, 2, 0)
+    indexer.accept(ids(3, 4), 1)  # again after the commit
+    assert status() == (4, 2, 0)
+    indexer.accept(ids(5, 6, 7, 8), 2)  # a new segment begins after the commit
+    assert status() == (8, 3, 1) and {r["doc_id"]: r["segment_no"] for r in indexer.visible().collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 2, 6: 2, 7: 2}
+    indexer.commit_all()
+    assert status() == (8, 4, 0) and indexer.visible().count() == 8
     with pytest.raises(ValueError):
-        indexer.accept(ids(-1), 2)
+        indexer.accept(ids(-1), 3)
     with pytest.raises(ValueError):
         StreamIndexer(spark, "x", 1, 0)
 
@@ -391,5 +503,6 @@ def test_file_stream(spark, tmp_path):
     indexer.run(stream, f"file://{tmp_path}/checkpoint")
     indexer.run(stream, f"file://{tmp_path}/checkpoint")  # nothing new
     assert sum(r["accepted"] for r in indexer.status().collect()) == 50
-    seqs = indexer.spark.read.parquet(f"file://{tmp_path}/out/events").groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("d"), F.max("seq").alias("m")).collect()
+    indexer.commit_all()
+    seqs = indexer.visible().groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("d"), F.max("seq").alias("m")).collect()
     assert all(r["n"] == r["d"] == r["m"] for r in seqs)
