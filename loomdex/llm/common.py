@@ -4,15 +4,18 @@ column names that cannot clash."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,6 +87,14 @@ BROADCAST_ROWS = 2_000_000
 BATCH_BYTES = 8 << 20
 
 
+def release() -> None:
+    """Give the system back what a batch of texts has taken and freed: Python workers are kept for the next task, and
+    several of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that the session sends to Python by BATCH_BYTES."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

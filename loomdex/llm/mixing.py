@@ -227,7 +227,8 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, bloc
     carried = F.struct(*[quoted(c) for c in docs.columns if c != "text"], F.lit(0).alias(_spare(docs)))
     rows, plan, passes = _planned(docs, carried, weights, block, slots, seed, vocabulary)
     drawn = _drawn(_salted(rows.select("carried", "name", "block", "inner", "part", "tail"), passes), plan)
-    rows = drawn.select("carried", F.arrow_udf(_texts(vocabulary), "string")(F.col("part"), F.col("tail"), F.col("inner")).alias("cut")).where("cut <> ''")
+    text = F.arrow_udf(_texts(vocabulary), "string").asNondeterministic()  # else it is evaluated before the join too, to filter
+    rows = drawn.select("carried", text(F.col("part"), F.col("tail"), F.col("inner")).alias("cut")).where("cut <> ''")
     return rows.select(*[F.col("cut").alias("text") if c == "text" else F.length("cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("carried").getField(c).alias(c) for c in docs.columns])
 
 

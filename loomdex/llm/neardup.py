@@ -22,7 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import discard, materialize, one_row_per_id, quoted, small_side, text_batches, with_aggregates
+from loomdex.llm.common import discard, materialize, one_row_per_id, quoted, release, small_side, text_batches, with_aggregates
 from loomdex.llm.components import components
 from loomdex.llm.shingles import U64, grams, mix64, slices, string_buffers, words
 
@@ -91,6 +91,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k1.append(int(np.bitwise_xor.reduce(mix64(s + U64(1))).view(np.int64)))
             k2.append(int(np.add.reduce(mix64(s ^ U64(0x5851F42D4C957F2D))).view(np.int64)))
             sigs.append(signature(s))
+        release()
         if not ids:
             continue
         keys = band_keys(np.stack(sigs))
@@ -144,6 +145,7 @@ def _verify(threshold: float):
                         if common >= threshold * (both - common):
                             found_a.append(a[i])
                             found_b.append(b[i])
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
     return run

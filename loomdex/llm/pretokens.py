@@ -17,6 +17,7 @@ import regex
 import tiktoken
 from pyspark import SparkFiles
 
+from loomdex.llm.common import release
 from loomdex.llm.shingles import U64, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,11 +51,10 @@ def _classes() -> np.ndarray:
     """The class of every code point."""
     if not _CLASSES:
         out = np.full(0x110000, OTHER, np.uint8)
-        points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        points = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
         for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT)):
             for m in regex.finditer(pattern, points):
-                first, last = ord(points[m.start()]), ord(points[m.end() - 1])
-                out[first : last + 1] = kind
+                out[m.start() : m.end()] = kind
         out[_SPACES] = SPACE
         _CLASSES.append(out)
     return _CLASSES[0]
@@ -279,6 +279,7 @@ class Pieces:
         for a, b in slices(offsets, TEXT_BYTES):
             lo, hi = int(offsets[a]), int(offsets[b])
             yield self.found(offsets[a : b + 1] - lo, data[lo:hi])
+        release()
 
 
 _KEPT: dict[tuple[str, bool], Pieces] = {}

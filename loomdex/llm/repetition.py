@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import fresh_name, quoted, text_batches
+from loomdex.llm.common import fresh_name, quoted, release, text_batches
 
 MIN_REPEAT = 50  # characters; shorter repeats are ordinary language
 MAX_COVERED = 0.40  # fraction of a document's characters inside repeats
@@ -167,6 +167,7 @@ def repetition(text: Column, min_repeat: int = MIN_REPEAT) -> Column:
 
     def measure(texts: pa.Array) -> pa.Array:
         rows = [repeats(t.as_py(), min_repeat) for t in texts]
+        release()
         parts = zip(*rows) if rows else ([], [], [])
         return pa.StructArray.from_arrays([pa.array(p, pa.int64()) for p in parts], ["chars", "covered", "longest"])
 
