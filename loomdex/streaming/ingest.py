@@ -138,12 +138,15 @@ class SearchCluster:
         return search.stored_search(self.index, queries, visibility)
 
 
-def parquet_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A file stream over a table of a data folder, one file or many."""
+def parquet_stream(spark: SparkSession, sf_dir: str, name: str, files: int | None = 4) -> DataFrame:
+    """A file stream over a table of a data folder, one file or many, so many of them a micro-batch: None for all that
+    there are. Files come in the order of their times, whatever ids they hold."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+    reader = spark.readStream.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

@@ -6,13 +6,15 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomdex.functions import expressions as X
 from loomdex.operators import fusion, lexical, metrics, segments, sets, vectors
-from loomdex.plans import search
+from loomdex.plans import queries, search
+from loomdex.plans.oracles import ORACLE_SQL
 from loomdex.sources.index import StoredIndex, check_events
 from loomdex.streaming.ingest import SearchCluster, StreamIndexer
 
@@ -506,3 +508,18 @@ def test_file_stream(spark, tmp_path):
     indexer.commit_all()
     seqs = indexer.visible().groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("d"), F.max("seq").alias("m")).collect()
     assert all(r["n"] == r["d"] == r["m"] for r in seqs)
+
+
+def test_a_streamed_table_whose_files_come_in_any_order(spark, sf_dir, tmp_path):
+    """Ids lie across more files than an ordinary micro-batch takes, and the segments are those of the SQL."""
+    con = duckdb.connect()
+    (tmp_path / "documents.parquet").mkdir()
+    for name in ("embeddings", "labels"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    con.execute(f"CREATE TABLE documents AS SELECT d.* REPLACE (doc_id + 200 * i AS doc_id) FROM read_parquet('{sf_dir}/documents.parquet') d, range(3) r(i) WHERE doc_id < 200")
+    for i in range(6):
+        con.execute(f"COPY (SELECT * FROM documents WHERE doc_id % 6 = {5 - i}) TO '{tmp_path}/documents.parquet/part-{i}.parquet'")
+    want = con.execute("SELECT query_id, doc_id, score, rank FROM (" + ORACLE_SQL["stream_lifecycle"] + ")").fetchall()
+    got = queries.stream_lifecycle(spark, str(tmp_path)).select("query_id", "doc_id", "score", "rank").collect()
+    assert sorted((q, d, round(s, 6), r) for q, d, s, r in got) == sorted((q, d, round(s, 6), r) for q, d, s, r in want)
