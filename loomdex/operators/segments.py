@@ -7,18 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdex.functions import expressions as X
-from loomdex.sources.storage import small_side
+from loomdex.sources.storage import BROADCAST_ROWS, tasks
 
 TOMBSTONE_RATIO, MERGE_FACTOR = 0.20, 3
 
 
-CHUNK_IDS = 1 << 16  # ids that one task numbers
+CHUNK_IDS = 1 << 12  # ids that are numbered together
+TASK_EVENTS = 1 << 12  # events, which may be wide, that one task sorts, about
 
 
 def assign(events: DataFrame, shards: int, flush_at: int, base: DataFrame | None = None) -> DataFrame:
     """events with shard, seq (from 1 within the shard, by doc_id) and segment_no: every flush_at events of a shard
     make a segment, whatever batches they came in. Ids are numbered by chunks of them, and the counts of the
-    chunks are added up, so that no task has a whole shard.
+    chunks are added up, so that no task has a whole shard, or more than a few chunks of it.
 
     base(shard, n, cut, segments): events taken before, how many of them when segments were last closed by hand, and
     how many segments there were then."""
@@ -28,8 +29,10 @@ def assign(events: DataFrame, shards: int, flush_at: int, base: DataFrame | None
     routed = events.withColumn("shard", X.shard_of(F.col("doc_id"), shards))
     counts = routed.groupBy("shard", chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("own"))
     before = counts.select("shard", "chunk", (F.sum("own").over(W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("own")).alias("before"))
-    numbered = routed.withColumn("chunk", chunk).withColumn("seq", F.row_number().over(W.partitionBy("shard", "chunk").orderBy("doc_id")))
-    numbered = numbered.join(small_side(before), ["shard", "chunk"])
+    n = counts.agg(F.count(F.lit(1)).alias("chunks"), F.sum("own").alias("events")).first()
+    numbered = routed.withColumn("chunk", chunk).repartition(tasks(events.sparkSession, n["events"] or 0, TASK_EVENTS), "shard", "chunk")
+    numbered = numbered.withColumn("seq", F.row_number().over(W.partitionBy("shard", "chunk").orderBy("doc_id")))
+    numbered = numbered.join(F.broadcast(before) if n["chunks"] <= BROADCAST_ROWS else before, ["shard", "chunk"])
     if base is None:
         start, cut, segments = F.lit(0), F.lit(0), F.lit(0)
     else:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import expressions as X
 from loomdex.operators import lexical, segments, vectors
-from loomdex.sources.storage import delete, exists, names
+from loomdex.sources.storage import delete, exists, names, tasks
 
 SEGMENTS_A_SHARD = 1_000_000
 MERGED = 500_000  # segment numbers of a shard from which merges are numbered
@@ -78,7 +78,9 @@ class StoredIndex:
         docs = kept.select("segment", "doc_id", F.concat(F.coalesce("content_terms", F.array().cast("array<string>")), X.acl_terms(F.col("acl_tokens"))).alias("terms"))
         lexical.postings(docs).sortWithinPartitions("term", "segment", "doc_id").write.parquet(f"{self.path}/postings/{flush}")
         largest = docs.groupBy("segment").count().agg(F.max("count")).first()[0]
-        blocks = lexical.blocks(self._read("postings", [flush]), largest=largest or 0)
+        posted = self._read("postings", [flush])
+        posted = posted.repartition(tasks(self.spark, posted.count()), "term", "segment")
+        blocks = lexical.blocks(posted, largest=largest or 0)
         blocks.sortWithinPartitions("term", "segment", "block_no").write.parquet(f"{self.path}/blocks/{flush}")
         kept.select("segment", "doc_id", vectors.encode(F.col("embedding"), self.book).alias("code"), "acl_tokens").write.parquet(f"{self.path}/codes/{flush}")
         lexical.segment_stats(docs).coalesce(1).write.parquet(f"{self.path}/segment_stats/{flush}")

@@ -34,6 +34,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Narrow rows that one task has after a shuffle, about.
+TASK_ROWS = 1 << 20
+
+
+def tasks(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """In how many parts rows are shuffled, so that a task has about `each` of them however many there are. Parts that
+    are left to the session are of a fixed number, or of a size that is measured in compressed rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
