@@ -17,6 +17,16 @@ def terms(text: Column) -> Column:
     return F.coalesce(F.filter(F.split(text, r"\s+"), lambda t: t != ""), F.array().cast("array<string>"))
 
 
+def counted(terms: Column) -> Column:
+    """array<struct<term, tf>>: the distinct terms of an array, each with the times that it is there."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~F.equal_null(F.get(s, i), F.get(s, i - 1)))
+        return _let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("tf"))))
+
+    return F.when(F.size(terms) > 0, _let(F.sort_array(terms), runs))
+
+
 def acl_terms(tokens: Column) -> Column:
     """The index terms that grant reading to each token."""
     return F.transform(tokens, lambda t: F.concat(F.lit(ACL_PREFIX), t))

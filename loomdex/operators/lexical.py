@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdex.functions import expressions as X
-from loomdex.sources.storage import small_side
+from loomdex.sources.storage import small_side, tasks
 
 BLOCK = 128
 
@@ -42,34 +42,52 @@ def term_stats(tf: DataFrame) -> DataFrame:
     return tf.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-HOT = 1 << 20  # documents of a segment from which the posting list of a term may be too long for one task
+def document_frequency(docs: DataFrame, repeated: bool | None = None) -> DataFrame:
+    """term_stats of docs(segment, doc_id, terms), without moving their postings: each task adds up the terms of its
+    documents first. repeated: whether an id is there twice, if it is known; such ids are counted once."""
+    if repeated is None:
+        repeated = not docs.groupBy("segment", "doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        return term_stats(term_frequency(docs))
+    return term_stats(docs.select("segment", F.explode(F.array_distinct("terms")).alias("term")))
 
 
-def _largest(docs: DataFrame) -> int:
-    """The documents of the largest segment."""
-    return docs.groupBy("segment").count().agg(F.max("count")).first()[0] or 0
+HOT = 1 << 22  # documents of a segment from which the posting list of a term may be too long for one task
 
 
 def postings(docs: DataFrame, only: list[str] | None = None, k1: float = X.K1, b: float = X.B) -> DataFrame:
-    """(segment, term, doc_id, tf, doc_len, df, impact). only: build the postings of these terms alone, with
-    the statistics of the whole segment. A document without a proper id or with an empty term fails the query."""
-    stats = segment_stats(docs)
-    lengths = checked(docs).select("segment", "doc_id", F.size("terms").alias("doc_len"), *([F.filter("terms", lambda t: t.isin(only)).alias("terms")] if only is not None else ["terms"]))
-    return with_impacts(lengths.select("segment", "doc_id", "doc_len", F.explode("terms").alias("term")), stats, _largest(docs), k1, b)
-
-
-def with_impacts(found: DataFrame, stats: DataFrame, largest: int, k1: float = X.K1, b: float = X.B) -> DataFrame:
-    """The postings of found(segment, term, doc_id, doc_len), a row for each time a term is there, with the statistics
-    stats(segment, n_docs, avg_len). largest: the documents of the largest segment. Up to HOT of them a list is one
-    task's work and its length is counted where it is sorted; beyond, lengths are counted and joined."""
-    if largest <= HOT:
-        found = found.repartition("segment", "term")
-    tf = found.groupBy("segment", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
-    if largest <= HOT:
-        tf = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("segment", "term")))
+    """(segment, term, doc_id, tf, doc_len, df, impact), sorted by (term, segment, doc_id) within partitions. only: build the
+    postings of these terms alone, with the statistics of the whole segment. A document without a proper id or with an
+    empty term fails the query.
+
+    Terms are counted where the document lies, so that an entry moves once, to the task that has its list and counts the
+    list's length. Where a segment has more than HOT documents, lists that are longer than that are counted first, and
+    dealt to tasks by ranges of ids."""
+    spark = docs.sparkSession
+    own = docs["terms"] if only is None else F.filter("terms", lambda t: t.isin(only))
+    ids = docs.groupBy("segment", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("terms")).alias("len"), F.count(F.size("terms")).alias("known"), F.sum(F.size(own)).alias("own"))
+    table = ids.groupBy("segment").agg(F.sum("rows").alias("n_docs"), F.try_divide(F.sum("len"), F.sum("known")).alias("avg_len"), F.max("rows").alias("rows"), F.sum("own").alias("own")).toArrow()  # a row a segment
+    n_docs, rows, entries = (table[c].to_pylist() for c in ("n_docs", "rows", "own"))
+    stats = F.broadcast(spark.createDataFrame(table.select(["segment", "n_docs", "avg_len"])))
+    #: of one segment the number may be a literal, by which a shuffle does not count as one by (term, segment)
+    keys = ["term"] if len(n_docs) < 2 else ["term", "segment"]
+    parts = tasks(spark, sum(n or 0 for n in entries))
+    tf = checked(docs.withColumn("doc_len", F.size("terms")).withColumn("terms", own)).select("segment", "doc_id", "doc_len", F.inline(X.counted(F.col("terms"))))
+    repeated = max(rows, default=0) > 1
+    if max(n_docs, default=0) <= HOT:
+        tf, part = tf.repartition(parts, *keys), keys
     else:
-        tf = tf.join(term_stats(tf), ["segment", "term"])
-    joined = tf.join(small_side(stats), "segment")
+        found = document_frequency(docs.withColumn("terms", own), repeated).where(F.col("df") > HOT).select("segment", "term", F.col("df").alias("long"))
+        tf = tf.join(F.broadcast(found), ["segment", "term"], "left")  # a row for each HOT entries at most
+        tf = tf.withColumn("part", F.when(F.col("long").isNotNull(), F.floor(F.col("doc_id") / CHUNK_IDS)).otherwise(F.lit(0)))
+        part = [*keys, "part"]
+        tf = tf.repartition(parts, *part)
+    if repeated:
+        extra = [c for c in ("long", "part") if c in tf.columns]
+        tf = tf.groupBy("segment", "term", "doc_id", *extra).agg(F.sum("tf").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
+    length = F.count(F.lit(1)).over(W.partitionBy(*part))
+    tf = tf.sortWithinPartitions(*part, "doc_id").withColumn("df", F.coalesce("long", length) if "long" in tf.columns else length)
+    joined = tf.join(stats, "segment")
     return joined.select("segment", "term", "doc_id", "tf", "doc_len", "df", X.bm25(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b).alias("impact"))
 
 
@@ -79,16 +97,15 @@ CHUNK_IDS = 1 << 16  # ids of a long posting list that one task numbers
 def blocks(posted: DataFrame, size: int = BLOCK, hot: int = HOT, largest: int | None = None) -> DataFrame:
     """(segment, term, block_no, n, first_doc, max_doc_id, max_impact, bit_width): the posting lists in
     blocks of `size`, by ascending id. Lists of more than `hot` entries are numbered by chunks of ids; largest:
-    a number of entries that none exceeds, if it is known."""
-    chunk = F.when(F.col("df") > hot, F.floor(F.col("doc_id") / CHUNK_IDS)).otherwise(F.lit(0))
-    numbered = posted.withColumn("chunk", chunk)
-    place = F.row_number().over(W.partitionBy("segment", "term", "chunk").orderBy("doc_id"))
-    counts = numbered.where(F.col("df") > hot).groupBy("segment", "term", "chunk").agg(F.count(F.lit(1)).alias("own"))
-    before = counts.select("segment", "term", "chunk", (F.sum("own").over(W.partitionBy("segment", "term").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("own")).alias("before"))
+    a number of entries that none exceeds, if it is known. Postings in the order of postings() are not sorted again."""
     if (largest is not None and largest <= hot) or posted.where(F.col("df") > hot).isEmpty():
-        at = numbered.withColumn("place", place)
+        at = posted.withColumn("place", F.row_number().over(W.partitionBy("term", "segment").orderBy("doc_id")))
     else:
-        at = numbered.withColumn("place", place).join(small_side(before), ["segment", "term", "chunk"], "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0)))
+        numbered = posted.withColumn("chunk", F.when(F.col("df") > hot, F.floor(F.col("doc_id") / CHUNK_IDS)).otherwise(F.lit(0)))
+        counts = numbered.where(F.col("df") > hot).groupBy("segment", "term", "chunk").agg(F.count(F.lit(1)).alias("own"))
+        before = counts.select("segment", "term", "chunk", (F.sum("own").over(W.partitionBy("segment", "term").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("own")).alias("before"))
+        at = numbered.withColumn("place", F.row_number().over(W.partitionBy("segment", "term", "chunk").orderBy("doc_id")))
+        at = at.join(small_side(before), ["segment", "term", "chunk"], "left").withColumn("place", F.col("place") + F.coalesce("before", F.lit(0)))
     grouped = at.withColumn("block_no", F.floor((F.col("place") - 1) / size).cast("int")).groupBy("segment", "term", "block_no")
     out = grouped.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("max_doc_id"), F.greatest(F.max("impact"), F.lit(0.0).cast("float")).alias("max_impact"))
     return out.withColumn("bit_width", X.bit_width(F.col("max_doc_id") - F.col("first_doc")))

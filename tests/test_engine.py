@@ -16,6 +16,7 @@ from loomdex.operators import fusion, lexical, metrics, segments, sets, vectors
 from loomdex.plans import queries, search
 from loomdex.plans.oracles import ORACLE_SQL
 from loomdex.sources.index import StoredIndex, check_events
+from loomdex.sources.storage import tasks
 from loomdex.streaming.ingest import SearchCluster, StreamIndexer
 
 DOCS = "segment int, doc_id bigint, terms array<string>"
@@ -523,3 +524,45 @@ def test_a_streamed_table_whose_files_come_in_any_order(spark, sf_dir, tmp_path)
     want = con.execute("SELECT query_id, doc_id, score, rank FROM (" + ORACLE_SQL["stream_lifecycle"] + ")").fetchall()
     got = queries.stream_lifecycle(spark, str(tmp_path)).select("query_id", "doc_id", "score", "rank").collect()
     assert sorted((q, d, round(s, 6), r) for q, d, s, r in got) == sorted((q, d, round(s, 6), r) for q, d, s, r in want)
+
+
+def _moves(df, what="Exchange hashpartitioning"):
+    """How often a plan has a node."""
+    return df._jdf.queryExecution().executedPlan().toString().count(what)
+
+
+def test_document_frequency_moves_no_postings(spark):
+    """Terms are added up before they are shuffled; an id that is there twice counts once."""
+    once = spark.createDataFrame([(0, d, ["a", "a", f"t{d % 3}"]) for d in range(9)], DOCS)
+    twice = once.union(spark.createDataFrame([(0, 0, ["a", "b"]), (1, 0, ["a"])], DOCS))
+    for docs in (once, twice):
+        want = sorted(map(tuple, lexical.term_stats(lexical.term_frequency(docs)).collect()))
+        assert sorted(map(tuple, lexical.document_frequency(docs).collect())) == want
+    df = lexical.document_frequency(once)
+    assert _moves(df) == 1 and "doc_id" not in df._jdf.queryExecution().optimizedPlan().toString().partition("LogicalRDD")[0]
+
+
+def test_postings_move_once_and_are_sorted_once(spark):
+    """In one segment, given by a literal, as in many; also where they are cut in blocks."""
+    rows = [(s, d, ["x", "y", "x", f"t{d}"]) for s in range(3) for d in range(20)]
+    for docs in (spark.createDataFrame(rows, DOCS).where("segment = 0").withColumn("segment", F.lit(0)), spark.createDataFrame(rows, DOCS)):
+        posted = lexical.postings(docs)
+        assert _moves(posted) == 1 and _moves(posted, "Sort [") == 1
+        assert {r["term"]: (r["tf"], r["df"], r["doc_len"]) for r in posted.where("segment = 0 and doc_id = 7").collect()} == {"x": (2, 20, 4), "y": (1, 20, 4), "t7": (1, 1, 4)}
+    cut = lexical.blocks(lexical.postings(docs), largest=20)
+    assert _moves(cut) == 1 and _moves(cut, "Sort [") == 1
+
+
+def test_counted_terms(spark):
+    got = spark.createDataFrame([(["b", "a", None, "b"],), ([],), (None,)], "t array<string>").select(X.counted(F.col("t")).alias("n")).collect()
+    assert [r["n"] and [tuple(x) for x in r["n"]] for r in got] == [[(None, 1), ("a", 1), ("b", 2)], None, None]
+
+
+def test_tasks_stay_of_a_size(spark, monkeypatch):
+    """Numbering gives no task more than some chunks of events; a shard is dealt to many."""
+    monkeypatch.setattr(segments, "TASK_EVENTS", 64)
+    monkeypatch.setattr(segments, "CHUNK_IDS", 32)
+    rows = segments.assign(spark.range(4000).withColumnRenamed("id", "doc_id"), 1, 10)
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 400
+    assert tasks(spark, 10_000_000, 1000) == 10_000 and tasks(spark, 0) == spark.sparkContext.defaultParallelism
